@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namewright.llm import decontaminate, linededup, sharding, simhash
+from namewright.llm import decontaminate, linededup, minhash, sentencepieces, sharding, simhash, toxicity, warc
 from namewright.llm.common import table
 from namewright.plans.session import ship
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def op1_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -31,8 +35,22 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_hash_tree_shards, op5_simhash, op6_line_dedup, op7_decontaminate]
+    found = [op1_warc_packages, op4_hash_tree_shards, op5_simhash, op6_line_dedup, op7_decontaminate, op8_minhash, op9_sentencepiece, op10_toxicity]
     return {f.__name__: _shipped(f) for f in found}
 
 
