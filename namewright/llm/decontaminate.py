@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namewright.llm.common import hash_words, mix64, per_batch, rolling, stored, utf8
@@ -21,8 +21,6 @@ from namewright.llm.common import hash_words, mix64, per_batch, rolling, stored,
 WINDOW = 13
 K = 5
 _SEPARATE = bytes(32 if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-#: The same words, before lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -47,7 +45,9 @@ def _marks(hashes: np.ndarray, lengths: list[int]) -> np.ndarray:
 
 
 def _fingerprints(rows: DataFrame, lengths: list[int], whole: bool) -> DataFrame:
-    """rows(id, rid, text) -> (id, rid, h).  whole: of an item under a window only its full length."""
+    """rows(id, rid, text) -> (id, rid, h, n_words).  whole: of an item under a window only its full
+    length.  Of each row a first line tells n_words; its h is the row's own rid, so that no value
+    is shared by many lines.  n_words is null on the lines of fingerprints."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         words = [words_of(utf8(t)) for t in pdf["text"]]
@@ -58,11 +58,16 @@ def _fingerprints(rows: DataFrame, lengths: list[int], whole: bool) -> DataFrame
         for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
             own = flat[end - n : end]
             marks.append(_marks(own, [n] if whole and 0 < n < WINDOW else [] if whole else [x for x in lengths if x <= n]) if n else own)
-        count = [len(m) for m in marks]
-        flat_marks = np.concatenate(marks).view(np.int64) if marks else np.zeros(0, np.int64)
-        return pd.DataFrame({"id": pdf["id"].repeat(count).to_numpy(), "rid": np.repeat(pdf["rid"].to_numpy(np.int64), count), "h": flat_marks})
+        count = np.array([len(m) + 1 for m in marks], np.int64)
+        rid = np.repeat(pdf["rid"].to_numpy(np.int64), count)
+        first = np.cumsum(count) - count
+        h, n_words = rid.copy(), np.full(len(rid), -1, np.int64)
+        n_words[first] = sizes
+        h[n_words < 0] = np.concatenate([*marks, np.zeros(0, np.uint64)]).view(np.int64)
+        told = pd.arrays.IntegerArray(n_words, n_words < 0)
+        return pd.DataFrame({"id": pdf["id"].repeat(count).to_numpy(), "rid": rid, "h": h, "n_words": told})
 
-    return rows.mapInPandas(per_batch(run), "id string, rid long, h long")
+    return rows.mapInPandas(per_batch(run), "id string, rid long, h long, n_words long")
 
 
 def spans(doc: list[bytes], items: list[tuple[str, list[bytes]]]) -> tuple[np.ndarray, list[str]]:
@@ -137,19 +142,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rid = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).cast("string").alias("id"), rid.alias("rid"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).distinct()
-    n_words = _count_words(F.col("text"))
+    marks = stored(_fingerprints(items.select(F.col("item_id").alias("id"), F.lit(0).cast("long").alias("rid"), "text"), [], True), "benchmark-marks")
     # At most WINDOW - 1 numbers whatever the benchmark holds.
-    lengths = [r[0] for r in items.select(n_words.alias("n")).where(f"n > 0 and n < {WINDOW}").distinct().collect()]
-    marks = _fingerprints(items.select(F.col("item_id").alias("id"), F.lit(0).cast("long").alias("rid"), "text"), [], True)
-    marks = stored(marks.select(F.col("id").alias("item_id"), "h"), "benchmark-marks")
-    seen = _fingerprints(rows.where("text is not null"), sorted(lengths), False)
-    pairs = seen.join(marks, "h").select("rid", F.col("id"), "item_id").distinct()
+    lengths = [r[0] for r in marks.where(f"n_words > 0 and n_words < {WINDOW}").select("n_words").distinct().collect()]
+    marks = marks.where("n_words is null").select(F.col("id").alias("item_id"), F.col("h").alias("mark"))
+    seen = _fingerprints(rows, sorted(lengths), False)
+    met = seen.join(marks, F.col("n_words").isNull() & (F.col("h") == F.col("mark")), "left").where("n_words is not null or item_id is not null")
+    met = stored(met.select("rid", "id", "n_words", "item_id"), "contamination-met")
+    pairs = met.where("item_id is not null").select("rid", "id", "item_id").distinct()
     named = pairs.join(items, "item_id").groupBy("rid", "id").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
     named = stored(named, "contamination-pairs")
     chosen = rows.join(named.withColumnsRenamed({"rid": "_r", "id": "_i"}).hint("shuffle_hash"), (F.col("rid") == F.col("_r")) & F.col("id").eqNullSafe(F.col("_i")))
     judged = chosen.select("id", "rid", "text", "items").mapInPandas(per_batch(_verify), "rid long, id string, n_hit long, n_items long, items_sha256 string").distinct()
     judged = judged.withColumnsRenamed({"rid": "_r", "id": "_i"})
-    base = docs.select(F.col(id_col), rid.alias("rid"), n_words.alias("n_words") if text_col == "text" else _count_words(F.col(text_col)).alias("n_words"))
+    base = met.where("n_words is not null").select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "rid", "n_words")
     full = base.join(judged, (F.col("rid") == F.col("_r")) & F.col(id_col).cast("string").eqNullSafe(F.col("_i")), "left")
     none = hashlib.sha256(b"").hexdigest()
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -159,10 +165,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def _count_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated ones; columns as they were."""
     bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("rid").alias("_rid")).distinct()

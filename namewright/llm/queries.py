@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namewright.llm import decontaminate, linededup, minhash, sentencepieces, sharding, simhash, substrings, toxicity, warc
+from namewright.llm import decontaminate, linededup, minhash, pitmanyor, sentencepieces, sharding, simhash, substrings, toxicity, warc
 from namewright.llm.common import table
 from namewright.plans.session import ship
 
@@ -22,6 +22,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc_packages, op2_suffix_array_dedup, op4_hash_tree_shards, op5_simhash, op6_line_dedup, op7_decontaminate, op8_minhash, op9_sentencepiece, op10_toxicity]
+    found = [op1_warc_packages, op2_suffix_array_dedup, op3_pitman_yor, op4_hash_tree_shards, op5_simhash, op6_line_dedup, op7_decontaminate, op8_minhash, op9_sentencepiece, op10_toxicity]
     return {f.__name__: _shipped(f) for f in found}
 
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,10 +28,12 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 2 << 20
 CACHE_UNITS = 300_000
-MOST_PAIRS = 2_000_000
+TOP_BITS = 20
+PAIR_SLOTS = 20  # bits
 
 
 @dataclass
@@ -60,6 +61,9 @@ class Model:
         keys = np.array([_key([ord(c) for c in p]) for p in names], np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.codes = keys[order], self.codes[order]
+        # Which values the top bits of the keys take: most substrings are turned away here.
+        self.there = np.zeros(1 << TOP_BITS, bool)
+        self.there[self.keys >> np.uint64(64 - TOP_BITS)] = True
         self.key_ids = np.array([self.ids[p] for p in names], np.int64)[order]
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces have one hash")
@@ -99,44 +103,26 @@ class Encoder:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.cache: dict[str, array] = {}
-        self.pair_keys = np.zeros(0, np.int64)
-        self.pair_ok = np.zeros(0, bool)
-        self.merged = functools.lru_cache(1 << 16)(self._merged)
+        self.cache: dict[str, bytes] = {}
+        self.pair_keys = np.full(1 << PAIR_SLOTS, -1, np.int64)
+        self.pair_ok = np.zeros(1 << PAIR_SLOTS, bool)
+        self.valid = functools.lru_cache(300_000)(self._valid)
 
-    def units(self, text: str) -> Iterator[str]:
+    def units(self, text: str) -> list[str]:
         escaped = text.replace(" ", SPACE)
         if escaped and self.model.dummy_prefix:
             escaped = SPACE + escaped
-        for m in re.finditer(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", escaped):
-            yield m[0]
-
-    def encode(self, text: str) -> array:
-        """Ids of a whole text, in blocks of units, so that memory follows the ids alone."""
-        out, block, size = array("i"), [], 0
-        for u in self.units(text):
-            block.append(u)
-            size += len(u)
-            if size >= CHUNK_CHARS:
-                out.extend(self._block(block))
-                block, size = [], 0
-        out.extend(self._block(block))
-        return out
+        return UNIT.findall(escaped)
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the distinct new units of several texts together."""
-        new: dict[str, None] = {}
-        for t in texts:
-            for u in self.units(t):
-                if u not in self.cache:
-                    new[u] = None
-        self._learn(list(new))
-
-    def _block(self, units: list[str]) -> array:
-        self._learn([u for u in dict.fromkeys(units) if u not in self.cache])
-        out = array("i")
-        for u in units:
-            out.extend(self.cache[u])
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
+        return np.frombuffer(self.encode_all([text])[0], "<i4")
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian 32-bit integers; their distinct new units are encoded together."""
+        units = [self.units(t) for t in texts]
+        self._learn(list({u for own in units for u in own} - self.cache.keys()))
+        out = [b"".join(map(self.cache.__getitem__, own)) for own in units]
         if len(self.cache) > CACHE_UNITS:
             self.cache = dict(list(self.cache.items())[: CACHE_UNITS // 2])
         return out
@@ -149,10 +135,9 @@ class Encoder:
             step = max(1, (1 << 18) // n)
             for i in range(0, len(group), step):
                 part = group[i : i + step]
-                for u, ids in zip(part, self.viterbi(part, n), strict=True):
-                    self.cache[u] = ids
+                self.cache.update(zip(part, self.viterbi(part, n), strict=True))
 
-    def viterbi(self, units: list[str], n: int) -> list[array]:
+    def viterbi(self, units: list[str], n: int) -> list[bytes]:
         """Encodings of units of n characters each."""
         m = self.model
         rows = len(units)
@@ -167,22 +152,29 @@ class Encoder:
         score[0] = 0
         piece = np.full((n + 1, rows), -1, np.int32)  # of the best path's last step
         length = np.zeros((n + 1, rows), np.int32)
+        alone = np.ones(rows, bool)
         for j in range(1, n + 1):
+            open_rows = np.arange(rows)  # without a candidate that ends here
             for w in range(min(m.longest, j), 0, -1):  # long ones first: of equals they win
-                key = (prefix[j] - prefix[j - w] * power[w]) ^ np.uint64(w * 0xC4CEB9FE1A85EC53 % (1 << 64))
-                at = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
-                hit = np.flatnonzero(m.keys[at] == key)
-                hit = hit[(m.codes[at[hit], :w] == code[hit, j - w : j]).all(axis=1)] if len(hit) else hit
-                known = hit
-                if len(hit):
-                    hit = hit[piece[j, hit] < 0]  # settled ones have their only candidate
-                if len(hit):
-                    self._improve(score, piece, length, j, w, hit, m.key_ids[at[hit]])
-                if w == 1 and len(known) < rows:
-                    single = np.zeros(rows, bool)
-                    single[known] = True
-                    rest = np.flatnonzero(~single & (piece[j] < 0))
-                    score[j, rest], piece[j, rest], length[j, rest] = score[j - 1, rest], m.unk, 1
+                key = (prefix[j, open_rows] - prefix[j - w, open_rows] * power[w]) ^ np.uint64(w * 0xC4CEB9FE1A85EC53 % (1 << 64))
+                maybe = np.flatnonzero(m.there[key >> np.uint64(64 - TOP_BITS)])
+                if len(maybe):
+                    key = key[maybe]
+                    at = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
+                    same = m.keys[at] == key
+                    hit, at = open_rows[maybe[same]], at[same]
+                    same = (m.codes[at, :w] == code[hit, j - w : j]).all(axis=1)
+                    hit, at = hit[same], at[same]
+                    if w == 1:
+                        alone[:] = True
+                        alone[hit] = False
+                    if len(hit):
+                        self._improve(score, piece, length, j, w, hit, m.key_ids[at])
+                        open_rows = open_rows[piece[j, open_rows] < 0]
+                elif w == 1:
+                    alone[:] = True
+            rest = open_rows[alone[open_rows]]
+            score[j, rest], piece[j, rest], length[j, rest] = score[j - 1, rest], m.unk, 1
         return self._trace(units, piece, length, n)
 
     def _improve(self, score: np.ndarray, piece: np.ndarray, length: np.ndarray, j: int, w: int, hit: np.ndarray, ids: np.ndarray) -> None:
@@ -196,33 +188,19 @@ class Encoder:
         """Whether merging the text of two pieces by rank gives these two pieces."""
         size = len(self.model.pieces)
         key = left * size + right
-        at, known = self._lookup(key)
-        if not known.all():
-            new = np.sort(key[~known])
-            new = new[np.r_[True, new[1:] != new[:-1]]]
-            if len(self.pair_keys) > MOST_PAIRS:  # all that this call asks are then asked anew
-                self.pair_keys, self.pair_ok = self.pair_keys[:0], self.pair_ok[:0]
-                new = np.sort(key)
-                new = new[np.r_[True, new[1:] != new[:-1]]]
-            keys = np.concatenate([self.pair_keys, new])
-            oks = np.concatenate([self.pair_ok, [self._valid(*divmod(int(k), size)) for k in new]])
-            order = np.argsort(keys, kind="stable")
-            self.pair_keys, self.pair_ok = keys[order], oks[order].astype(bool)
-            at, _ = self._lookup(key)
-        return self.pair_ok[at]
-
-    def _lookup(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.pair_keys):
-            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return at, self.pair_keys[at] == key
+        slot = ((key.astype(np.uint64) * BASE) >> np.uint64(64 - PAIR_SLOTS)).astype(np.int64)
+        ok = self.pair_ok[slot]
+        for i in np.flatnonzero(self.pair_keys[slot] != key).tolist():
+            ok[i] = self.valid(int(left[i]), int(right[i]))
+            self.pair_keys[slot[i]], self.pair_ok[slot[i]] = key[i], ok[i]
+        return ok
 
     def _valid(self, a: int, b: int) -> bool:
         m = self.model
         if m.unk in (a, b):
             return True  # no piece holds an unknown character, so nothing merges across it
         left, right = m.pieces[a], m.pieces[b]
-        return self.merged(left + right) == (left, right)
+        return self._merged(left + right) == (left, right)
 
     def _merged(self, text: str) -> tuple[str, ...]:
         ids, scores = self.model.ids, self.model.scores
@@ -238,7 +216,7 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return tuple(parts)
 
-    def _trace(self, units: list[str], piece: np.ndarray, length: np.ndarray, n: int) -> list[array]:
+    def _trace(self, units: list[str], piece: np.ndarray, length: np.ndarray, n: int) -> list[bytes]:
         m = self.model
         rows = np.arange(len(units))
         at = np.full(len(units), n)
@@ -247,27 +225,23 @@ class Encoder:
             ids = np.where(at > 0, piece[at, rows], -1)
             steps.append((ids, at))
             at = np.where(at > 0, at - length[at, rows], 0)
-        out = []
-        table = np.array([s[0] for s in steps[::-1]]).T if steps else np.zeros((len(units), 0), int)
-        ends = np.array([s[1] for s in steps[::-1]]).T if steps else table
-        for u, ids, end in zip(units, table.tolist(), ends, strict=True):
-            own = [i for i in ids if i >= 0]
-            if m.unk in own and m.byte_fallback:
+        table = np.array([x[0] for x in steps[::-1]], "<i4").T
+        ends = np.array([x[1] for x in steps[::-1]]).T
+        used = table >= 0
+        flat, stop = table[used].tobytes(), np.cumsum(used.sum(axis=1)) * 4
+        out = [flat[a:b] for a, b in zip([0, *stop.tolist()], stop.tolist(), strict=False)]
+        if m.byte_fallback:
+            for r in np.flatnonzero((table == m.unk).any(axis=1)).tolist():
                 wide = []
-                for i, e in zip(ids, end.tolist(), strict=True):
-                    if i == m.unk:
-                        wide += [m.byte_ids[b] for b in u[e - 1].encode("utf-8", "surrogatepass")]
-                    elif i >= 0:
-                        wide.append(i)
-                own = wide
-            out.append(array("i", own))
+                for i, e in zip(table[r].tolist(), ends[r].tolist(), strict=True):
+                    wide += [m.byte_ids[b] for b in units[r][e - 1].encode("utf-8", "surrogatepass")] if i == m.unk else [i] if i >= 0 else []
+                out[r] = np.array(wide, "<i4").tobytes()
         return out
 
 
-def decode(model: Model, ids: array | list[int] | np.ndarray) -> str:
+def decode(model: Model, ids: list[int] | np.ndarray) -> str:
     """The text of ids: pieces joined, U+2581 as a space, byte pieces as bytes, without the space in front."""
-    surface = model.surface
-    text = b"".join([surface[i] for i in ids]).decode("utf-8", "replace")
+    text = b"".join(map(model.surface.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
     return text[1:] if model.dummy_prefix and text.startswith(" ") else text
 
 
@@ -291,10 +265,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 while stop < len(texts) and (stop == start or size + len(texts[stop]) <= CHUNK_CHARS):
                     size += len(texts[stop])
                     stop += 1
-                if stop - start > 1:
-                    encoder.learn(texts[start:stop])
-                for t in texts[start:stop]:
-                    rows.append(_row(encoder, t, with_ids))
+                rows += [_row(model, t, flat, with_ids) for t, flat in zip(texts[start:stop], encoder.encode_all(texts[start:stop]), strict=True)]
                 start = stop
             out = pd.DataFrame(rows, columns=["n_chars", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip", "ids"])
             out.insert(0, "id", pdf["id"].to_numpy())
@@ -316,8 +287,7 @@ def _encoder(model: Model) -> Encoder:
     return _LAST[0]
 
 
-def _row(encoder: Encoder, text: str, with_ids: bool) -> tuple:
-    ids = encoder.encode(text)
-    back = decode(encoder.model, ids)
-    flat = np.array(ids, "<i4").tobytes()
-    return len(text), len(ids), hashlib.sha256(flat).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text, list(ids) if with_ids else None
+def _row(model: Model, text: str, flat: bytes, with_ids: bool) -> tuple:
+    ids = np.frombuffer(flat, "<i4")
+    back = decode(model, ids)
+    return len(text), len(ids), hashlib.sha256(flat).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text, ids.tolist() if with_ids else None
