@@ -58,7 +58,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

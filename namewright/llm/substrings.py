@@ -316,26 +316,26 @@ def merged(cuts) -> list[tuple[int, int]]:
     return out
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(rows, cuts): rows (id, key, rid, text, sha) of docs, and byte ranges (rid, a, b) to remove
-    from rows that are the first of their text.  Later copies of a whole text have no cuts: all of
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, thin, cuts): rows (id, key, rid, text) of docs, the same as (id, key, rid, n_bytes, sha)
+    stored, and byte ranges (rid, a, b) to remove from rows that are the first of their text.  Later copies of a whole text have no cuts: all of
     them goes if it is long enough."""
     if length <= GRAM:
         raise ValueError(f"strings must be longer than {GRAM} bytes")
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text")).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
-    rows = rows.withColumn("rid", F.xxhash64("key", "sha"))
-    thin = stored(rows.select("key", "rid", "sha"), "substring-rows")
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text"))
+    rows = rows.withColumn("rid", F.xxhash64("key", "text"))
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    thin = stored(rows.select("id", "key", "rid", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha")), "substring-rows")
     firsts = thin.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     copies = stored(thin.join(firsts, "sha").where("key <> first").select("rid").distinct(), "substring-copies")
     found = rows.select("rid", "text").mapInPandas(_find_anchors(length), "h long, rid long, start long, n long")
     ordered = found.repartitionByRange("h", "rid").sortWithinPartitions("h", "rid")
-    again = stored(ordered.mapInPandas(_repeated, "h long, rid long, start long, n long").join(copies, "rid", "left_anti").distinct(), "substring-anchors")
+    again = stored(ordered.mapInPandas(_repeated, "h long, rid long, start long, n long").join(copies, "rid", "left_anti"), "substring-anchors")
     _freed(spark)
-    shared = again.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    wanted = again.join(shared, "h", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
+    wanted = again.groupBy("rid").agg(F.collect_set(F.struct("h", "start", "n")).alias("wanted"))
     held = rows.select("key", "rid", "text").join(wanted.hint("shuffle_hash"), "rid")
     cut = stored(held.mapInPandas(_cut_out(length), "h long, key long, rid long, start long, n long, raw binary"), "substring-segments")
     _freed(spark)
@@ -344,7 +344,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     _freed(spark)
     strings = told.where("one is not null").repartitionByRange("one", "two").sortWithinPartitions("one", "two", "key", "a")
     across = strings.mapInPandas(_merge, "rid long, a long, b long")
-    return rows, told.where("one is null").select("rid", "a", "b").unionByName(across)
+    return rows, thin, told.where("one is null").select("rid", "a", "b").unionByName(across)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -355,8 +355,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document; rows that repeat id and text do not count as earlier than each other; an empty table
     gives none.
     """
-    rows, cuts = removed_spans(docs, id_col, text_col, length, shard_bytes)
-    thin = rows.select("sha", "key").groupBy("sha").agg(F.min("key").alias("first"))
+    rows, thin, cuts = removed_spans(docs, id_col, text_col, length, shard_bytes)
+    firsts = thin.groupBy("sha").agg(F.min("key").alias("first"))
     by_row = stored(cuts.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("cuts")), "substring-cuts")
     _freed(docs.sparkSession)
     n_bytes = F.octet_length("text").cast("long")
@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     done = hit.mapInPandas(run, "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     done = done.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
-    rest = rows.select("id", "key", "rid", "sha", n_bytes.alias("n_bytes")).join(by_row, "rid", "left_anti").join(thin, "sha")
+    rest = thin.join(by_row, "rid", "left_anti").join(firsts, "sha")
     gone = (F.col("key") > F.col("first")) & (F.col("n_bytes") >= length)
     rest = rest.select(
         "id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"),
