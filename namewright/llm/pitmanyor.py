@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyarrow import fs
 from pyarrow import parquet as pq
 from pyspark.sql import DataFrame
@@ -44,6 +45,14 @@ END = np.uint64(0x5851F42D4C957F2D)
 REQUEST = "r int, b string, words binary, degree binary, context binary, n binary"
 
 
+def packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
 # --- tokens --------------------------------------------------------------------------------------
 
 
@@ -143,7 +152,7 @@ def _requests(shards: int):
             known = np.repeat([not is_held_out(i) for i in b.ids], b.sizes)
             n = np.bincount(b.pair[known], minlength=len(b.context))
             rows = [
-                (r, b.name, b.words[w].tobytes(), b.degree[w].astype(np.uint16).tobytes(), b.context[p].astype(np.uint16).tobytes(), n[p].astype(np.uint32).tobytes())
+                (r, b.name, b.words[w].tobytes(), packed(b.degree[w].astype(np.uint16)), packed(b.context[p].astype(np.uint16)), packed(n[p].astype(np.uint32)))
                 for r, w, p in _cuts(b.words, b.degree, shards)
             ]
             yield pd.DataFrame(rows, columns=["r", "b", "words", "degree", "context", "n"])
@@ -162,15 +171,15 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for w, d, c, n in zip(words, pdf["degree"], pdf["context"], pdf["n"], strict=True):
-        n = np.frombuffer(n, np.uint32).astype(np.int64)
-        code = np.searchsorted(every, np.repeat(w, np.frombuffer(d, np.uint16))) * CONTEXTS + np.frombuffer(c, np.uint16)
+        n = unpacked(n, np.uint32).astype(np.int64)
+        code = np.repeat(np.searchsorted(every, w), unpacked(d, np.uint16)) * CONTEXTS + unpacked(c, np.uint16)
         held.append((code[n > 0], n[n > 0]))
         size += len(code)
         if size > 4_000_000:
             codes, counts, held, size = *_summed(codes, counts, held), [], 0
     codes, counts = _summed(codes, counts, held)
     own, degree = np.unique(codes // CONTEXTS, return_counts=True)
-    return pd.DataFrame([(pdf["r"].iloc[0], every[own].tobytes(), degree.astype(np.uint16).tobytes(), (codes % CONTEXTS).astype(np.uint16).tobytes(), counts.astype(np.uint64).tobytes())], columns=["r", "words", "degree", "context", "n"])
+    return pd.DataFrame([(pdf["r"].iloc[0], every[own].tobytes(), packed(degree.astype(np.uint16)), packed((codes % CONTEXTS).astype(np.uint16)), packed(counts.astype(np.uint64)))], columns=["r", "words", "degree", "context", "n"])
 
 
 def _summed(codes: np.ndarray, counts: np.ndarray, held: list) -> tuple[np.ndarray, np.ndarray]:
@@ -246,9 +255,9 @@ class Shard:
     def __init__(self, row, prior: Prior) -> None:
         self.r, self.prior = int(row.r), prior
         self.words = np.frombuffer(row.words, np.uint64)
-        self.word = np.repeat(np.arange(len(self.words)), np.frombuffer(row.degree, np.uint16))
-        self.context = np.frombuffer(row.context, np.uint16).astype(np.int64)
-        self.count = np.frombuffer(row.n, np.uint64).astype(np.int64)
+        self.word = np.repeat(np.arange(len(self.words)), unpacked(row.degree, np.uint16))
+        self.context = unpacked(row.context, np.uint16).astype(np.int64)
+        self.count = unpacked(row.n, np.uint64).astype(np.int64)
         self.tables = np.ones(len(self.count), np.int64)
         self.seats = self._seats()
         self.root = np.ones(len(self.words), np.int64)
@@ -298,13 +307,13 @@ def _answers(shard: Shard, history: list[Totals], requests: pd.DataFrame) -> Ite
     for b, words, degree, context in zip(requests["b"], requests["words"], requests["degree"], requests["context"], strict=True):
         words = np.frombuffer(words, np.uint64)
         at, there = _find(shard.words, words)
-        ctx = np.frombuffer(context, np.uint16).astype(np.int64)
-        own = np.repeat(np.arange(len(words)), np.frombuffer(degree, np.uint16))
+        ctx = unpacked(context, np.uint16).astype(np.int64)
+        own = np.repeat(np.arange(len(words)), unpacked(degree, np.uint16))
         parent = np.where(there, up[at] if len(up) else 0.0, unseen)[own]
         place, seen = _find(codes, np.where(there, at, -1)[own] * CONTEXTS + ctx)
         held = np.where(seen, np.maximum(shard.count[place] - p.d1 * tables[place], 0) if len(codes) else 0.0, 0.0)
         value = (held + (STRENGTH + p.d1 * last.tables[ctx]) * parent) / (STRENGTH + last.customers[ctx])
-        yield b, shard.r, np.log10(value).astype(np.float32).tobytes(), np.where(there, total[at] if len(total) else 0, 0).astype(np.uint64).tobytes()
+        yield b, shard.r, packed(np.log10(value).astype(np.float32)), packed(np.where(there, total[at] if len(total) else 0, 0).astype(np.uint64))
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,8 +347,8 @@ def train(counts: DataFrame) -> tuple[Prior, list[Totals]]:
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                c, ctx = np.frombuffer(row.n, np.uint64).astype(float), np.frombuffer(row.context, np.uint16)
-                degree = np.frombuffer(row.degree, np.uint16)
+                c, ctx = unpacked(row.n, np.uint64).astype(float), unpacked(row.context, np.uint16)
+                degree = unpacked(row.degree, np.uint16)
                 x, y = np.bincount(ctx, weights=c, minlength=CONTEXTS), np.bincount(ctx, minlength=CONTEXTS)
                 more = [(CONTEXTS, (c == 1).sum(), (c == 2).sum()), (CONTEXTS + 1, (degree == 1).sum(), (degree == 2).sum()), (CONTEXTS + 2, len(degree), c.sum())]
                 yield pd.DataFrame([*((i, x[i], y[i]) for i in np.flatnonzero(x)), *more], columns=["at", "x", "y"]).astype({"at": "int64", "x": float, "y": float})
@@ -396,15 +405,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     told = counts.groupBy("r").cogroup(asked.groupBy("r")).applyInPandas(answer, "b string, r int, logp binary, count binary")
     path = scratch(spark, "lm-answers")
-    told.repartition(shards, "b").write.partitionBy("b").parquet(path)
+    told.repartition(shards, "b").write.option("compression", "uncompressed").partitionBy("b").parquet(path)
     _freed(spark)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(path)
         for b in blocks(batches):
             got = pq.read_table(f"{root}/b={b.name}", filesystem=store, partitioning=None).sort_by("r")
-            logp = np.frombuffer(b"".join(got["logp"].to_pylist()), np.float32).astype(float)
-            count = np.frombuffer(b"".join(got["count"].to_pylist()), np.uint64).astype(np.int64)
+            logp = np.concatenate([unpacked(x, np.float32) for x in got["logp"].to_pylist()]).astype(float)
+            count = np.concatenate([unpacked(x, np.uint64) for x in got["count"].to_pylist()]).astype(np.int64)
             if len(logp) != len(b.context) or len(count) != len(b.words):
                 raise RuntimeError("the splits of the documents changed between two reads")
             first = np.cumsum(b.sizes) - b.sizes

@@ -78,7 +78,7 @@ def test_probabilities_sum_to_one():
     code = np.searchsorted(words, text) * M.CONTEXTS + ctx
     codes, n = np.unique(code, return_counts=True)
     own, degree = np.unique(codes // M.CONTEXTS, return_counts=True)
-    row = next(pd.DataFrame([(0, words[own].tobytes(), degree.astype(np.uint16).tobytes(), (codes % M.CONTEXTS).astype(np.uint16).tobytes(), n.astype(np.uint64).tobytes())], columns=["r", "words", "degree", "context", "n"]).itertuples())
+    row = next(pd.DataFrame([(0, words[own].tobytes(), M.packed(degree.astype(np.uint16)), M.packed((codes % M.CONTEXTS).astype(np.uint16)), M.packed(n.astype(np.uint64)))], columns=["r", "words", "degree", "context", "n"]).itertuples())
     prior = M.Prior(0.7, 0.6, len(own), len(text))
     customers = np.bincount(codes % M.CONTEXTS, weights=n, minlength=M.CONTEXTS)
     shard = M.Shard(row, prior)
