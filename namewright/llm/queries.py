@@ -67,4 +67,12 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": OP6_SQL}
+
+
+OP6_SQL = """
+WITH texts AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM texts),
+bad AS (SELECT trim(line, ' ') AS t, min(doc_id) AS first_id FROM line WHERE length(trim(line, ' ')) >= 20 GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+told AS (SELECT l.*, b.t IS NOT NULL AND l.doc_id <> b.first_id AS gone FROM line l LEFT JOIN bad b ON trim(l.line, ' ') = b.t)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM told GROUP BY doc_id"""
