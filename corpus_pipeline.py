@@ -6,14 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namewright.llm import decontaminate, linededup, sentencepieces, simhash, toxicity
+from namewright.llm import decontaminate, linededup, sentencepieces, similar, toxicity
 from namewright.llm.common import scratch, table
 from namewright.plans.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Shingles of five words; a similarity of 0.8 or more is sure to be linked only where the
-#: fingerprints differ in at most 4 bits, which is what the operator guarantees.
-SHINGLE = 5
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +24,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document whose id names its component stays; of several rows with that id all stay."""
+    """Groups are linked at a similarity of 0.8 of 5-word shingles; the document whose id names its
+    group stays; of several rows with that id all stay."""
     ship(spark)
-    found = simhash.near_duplicates(docs, shingle=SHINGLE).where("id is null or id = component_id").select(F.col("id").alias("_id")).distinct()
+    found = similar.similar_documents(docs).where("id is null or id = component_id").select(F.col("id").alias("_id")).distinct()
     kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return kept.select(COLUMNS)
 

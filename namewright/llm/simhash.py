@@ -44,26 +44,34 @@ def byte_triples() -> list[tuple[int, int, int]]:
     return out
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; fewer words give one hash, no words none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
-        h = xxhash.xxh64_intdigest
-        hashes = [h(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
+    h = xxhash.xxh64_intdigest
+    return np.array([h(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    every = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
+    every = hashes.view(np.uint8).reshape(-1, 8)
     for i in range(0, len(every), 1 << 16):
         counts += np.unpackbits(every[i : i + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
     return int(bits.view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp) for every row; null and wordless texts have fp 0."""
 

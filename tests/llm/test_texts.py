@@ -260,7 +260,8 @@ def test_held_out_accuracy_and_awkward_rows(spark, awkward):
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
-    from tests.llm.test_pairs import slow_components, slow_contamination, slow_lines
+    from tests.llm.test_pairs import slow_contamination, slow_lines
+    from tests.llm.test_similar import slow_similar
 
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -274,8 +275,7 @@ def test_pipeline(spark):
     rows = [[(r.doc_id, r.text, r.source) for r in s.collect()] for s in states]
     assert 0 < len(rows[1]) < len(rows[0])
     assert key((d, t) for d, t, _ in rows[2]) == key((d, t) for d, _, _, t in slow_lines(rows[1]))
-    prints = [(d, slow_print(t)) for d, t, _ in rows[2]]
-    assert {d for d, _, _ in rows[3]} == {c for _, _, c in slow_components(prints, 4)}
+    assert {d for d, _, _ in rows[3]} == {c for _, c in slow_similar([(d, t) for d, t, _ in rows[2]])}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert {d for d, _, _ in rows[4]} == {d for d, t, _ in rows[3] if not slow_contamination(t, items)[-1]}
     final = {r.doc_id: r for r in cp.run(spark, sf).collect()}
@@ -283,12 +283,6 @@ def test_pipeline(spark):
     assert all(final[d].n_pieces == len(LIB.encode(t)) for d, t, _ in rows[4])
 
 
-def slow_print(text):
-    from namewright.llm import simhash
-
-    return simhash.fingerprint(text.encode(), 5)
-
-
 def test_pipeline_stages_take_awkward_rows(spark, awkward, sf_dir):
     import corpus_pipeline as cp
 
