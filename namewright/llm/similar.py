@@ -5,12 +5,15 @@ than the byte-position index can guarantee.  So here a fingerprint has `POSITION
 each the SimHash of a min-wise sample of one shingle: two texts share a byte with a probability of
 their similarity (and 1/256 of the rest).  The inverted index is keyed by `ROWS` positions at a time,
 `BANDS` keys a text, which finds a pair at 0.8 with a probability of 0.9999 and more similar ones with
-more; shared positional bytes of a pair are tallied, pairs below `LEAST` shared (seven standard errors
+more; shared positional bytes of a pair are tallied, pairs below `LEAST` shared (five standard errors
 under what 0.8 gives) go, and the rest are verified exactly on their sets of shingles.
 
 Equal texts are one node.  Postings are range-partitioned and sorted by key and 64-bit fingerprint;
-each is first compared with the few before it, which joins large groups of copies in linear work.
-After that only members outside a posting list's largest component are compared with the rest.
+each is first compared with the few before it and with its list's hub, the member whose own lists
+hold most postings (in a group of copies one that was edited least): linear work, which joins large
+groups of copies.
+After that only members outside a posting list's largest component are compared with the rest, and of
+these only texts of whose shingles enough occur in other texts at all.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ SIMILARITY = 0.8
 ROWS = 6
 BANDS = 32
 POSITIONS = ROWS * BANDS
-LEAST = 115
+LEAST = 126
 LAGS = 2
 _ODD = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _SALT = mix64(np.arange(1001, 1001 + BANDS, dtype=np.uint64))
@@ -90,6 +93,16 @@ def _adjacent(postings: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, "u long, v long").distinct()
 
 
+def _to_hubs(postings: DataFrame) -> DataFrame:
+    """Pairs of each node with the hubs of its posting lists of three and more."""
+    sizes = postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 2")
+    crowded = stored(postings.join(sizes, "key").select("key", "node", "c"), "similar-crowded")
+    score = crowded.groupBy("node").agg(F.sum("c").alias("score"))
+    hubs = crowded.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    pairs = crowded.join(hubs, "key").where("node <> hub")
+    return pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+
+
 def _tally(a: str, b: str) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
@@ -98,22 +111,33 @@ def _sizes_fit(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) whose sets of shingles have the similarity; exact."""
+def _sets(asked: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(node, held): the sets of shingles of the nodes asked for."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [np.unique(shingle_hashes(utf8(t), shingle)).view(np.int64) for t in pdf["text"]]
         return pd.DataFrame({"node": pdf["node"], "held": sets})
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     texts = docs.select(_node(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text")).join(asked, "node", "left_semi")
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
-    sets = stored(texts.mapInPandas(per_batch(run), "node long, held array<long>"), "similar-sets")
+    return stored(texts.mapInPandas(per_batch(run), "node long, held array<long>"), "similar-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets of shingles have the similarity; exact."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("held").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("held").alias("b")), "v")
     shared, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
     return both.where(shared * (1 + similarity) >= total * similarity - 1e-6).select("u", "v")
 
 
+def _met(sets: DataFrame) -> DataFrame:
+    """(node, m): how many of a node's shingles any other of these sets holds, so the most that it
+    can share with one of them."""
+    alone = sets.select("node", F.explode("held").alias("g")).groupBy("g").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    alone = alone.where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    return sets.join(alone, "node", "left").select("node", (F.size("held") - F.coalesce("alone", F.lit(0))).alias("m"))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: (id, component_id), the smallest id reachable over pairs of texts whose
     sets of shingles have a Jaccard similarity of at least `similarity` (0.8 or more).
@@ -126,22 +150,29 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         raise ValueError("the index is built for a similarity of 0.8 or more")
     prints = stored(_prints(docs, id_col, text_col, shingle), "similar-prints")
     nodes = stored(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("pos").alias("pos"), F.first("keys").alias("keys")), "similar-nodes")
-    near = stored(_adjacent(nodes.select("node", "fp", F.explode("keys").alias("key"))), "similar-adjacent")
+    listed = nodes.select("node", "fp", F.explode("keys").alias("key"))
+    near = stored(_adjacent(listed).unionByName(_to_hubs(listed)).distinct(), "similar-adjacent")
     light = nodes.select("node", "n", "pos")
     tried = near.join(light.toDF("u", "nu", "pu"), "u").join(light.toDF("v", "nv", "pv"), "v")
     tried = stored(tried.where(_sizes_fit("nu", "nv", similarity) & (_tally("pu", "pv") >= LEAST)).select("u", "v"), "similar-tried")
-    links = _verified(tried, docs, text_col, shingle, similarity)
+    asked = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    links = _verified(tried, _sets(asked, docs, text_col, shingle), similarity)
     first = connected_components(links, "similar-first").withColumnRenamed("component", "comp")
     known = stored(nodes.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "similar-known")
     postings = known.select("node", "comp", F.explode("keys").alias("key"))
     sizes = postings.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1").select("key", F.col("top.comp").alias("top"))
-    held = stored(postings.join(mixed, "key").join(known.select("node", "n", "pos"), "node"), "similar-mixed")
-    few = held.where("comp <> top").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    rest = held.select("key", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-    apart = few.join(rest, "key").where((F.col("cx") != F.col("cy")) & _sizes_fit("nx", "ny", similarity) & (_tally("px", "py") >= LEAST))
+    members = stored(postings.join(mixed, "key"), "similar-members")
+    sets = _sets(members.select("node").distinct(), docs, text_col, shingle)
+    # A text can't be similar to another one if too few of its shingles occur in any other.
+    able = known.select("node", "n", "pos").join(_met(sets), "node").where(F.col("m") >= F.col("n") * similarity - 1e-6)
+    held = stored(members.join(able, "node"), "similar-mixed")
+    few = held.where("comp <> top").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("m").alias("mx"), F.col("pos").alias("px"))
+    rest = held.select("key", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("m").alias("my"), F.col("pos").alias("py"))
+    enough = F.least("mx", "my") * (1 + similarity) >= (F.col("nx") + F.col("ny")) * similarity - 1e-6
+    apart = few.join(rest, "key").where((F.col("cx") != F.col("cy")) & enough & (_tally("px", "py") >= LEAST))
     untried = apart.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    late = _verified(stored(untried, "similar-untried"), docs, text_col, shingle, similarity)
+    late = _verified(stored(untried, "similar-untried"), sets, similarity)
     of = known.select("node", "comp")
     over = late.join(of.toDF("u", "cu"), "u").join(of.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     last = connected_components(over, "similar-last").withColumnRenamed("node", "comp")
