@@ -103,11 +103,22 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
-def per_batch(f: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def pieces(pdf: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    """Consecutive rows; the texts of a piece but its last have at most `most` characters together."""
+    size = pd.Series([0 if t is None or t is pd.NA or t != t else len(t) for t in pdf["text"]], index=pdf.index)
+    for _, piece in pdf.groupby((size.cumsum() - size) // most, sort=False):
+        yield piece.reset_index(drop=True)
+
+
+def per_batch(f: Callable[[pd.DataFrame], pd.DataFrame | None], most: int | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """f on each batch, or on pieces of it of about `most` characters in the column text, so that what
+    f holds of words does not grow with a batch's texts."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = f(pdf)
-            if out is not None and len(out):
-                yield out
+            for piece in [pdf] if most is None or not len(pdf) else pieces(pdf, most):
+                out = f(piece)
+                if out is not None and len(out):
+                    yield out
 
     return run

@@ -20,6 +20,8 @@ from namewright.llm.common import hash_words, mix64, per_batch, rolling, stored,
 
 WINDOW = 13
 K = 5
+#: Characters of texts that are in words at once.
+PIECE = 1 << 21
 _SEPARATE = bytes(32 if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -67,7 +69,7 @@ def _fingerprints(rows: DataFrame, lengths: list[int], whole: bool) -> DataFrame
         told = pd.arrays.IntegerArray(n_words, n_words < 0)
         return pd.DataFrame({"id": pdf["id"].repeat(count).to_numpy(), "rid": rid, "h": h, "n_words": told})
 
-    return rows.mapInPandas(per_batch(run), "id string, rid long, h long, n_words long")
+    return rows.mapInPandas(per_batch(run, PIECE), "id string, rid long, h long, n_words long")
 
 
 def spans(doc: list[bytes], items: list[tuple[str, list[bytes]]]) -> tuple[np.ndarray, list[str]]:
@@ -153,7 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     named = pairs.join(items, "item_id").groupBy("rid", "id").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
     named = stored(named, "contamination-pairs")
     chosen = rows.join(named.withColumnsRenamed({"rid": "_r", "id": "_i"}).hint("shuffle_hash"), (F.col("rid") == F.col("_r")) & F.col("id").eqNullSafe(F.col("_i")))
-    judged = chosen.select("id", "rid", "text", "items").mapInPandas(per_batch(_verify), "rid long, id string, n_hit long, n_items long, items_sha256 string").distinct()
+    judged = chosen.select("id", "rid", "text", "items").mapInPandas(per_batch(_verify, PIECE), "rid long, id string, n_hit long, n_items long, items_sha256 string").distinct()
     judged = judged.withColumnsRenamed({"rid": "_r", "id": "_i"})
     base = met.where("n_words is not null").select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "rid", "n_words")
     full = base.join(judged, (F.col("rid") == F.col("_r")) & F.col(id_col).cast("string").eqNullSafe(F.col("_i")), "left")

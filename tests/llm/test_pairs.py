@@ -6,11 +6,13 @@ import zlib
 from collections import defaultdict
 from itertools import combinations
 
+import pandas as pd
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from namewright.llm import decontaminate, linededup, sharding, simhash
+from namewright.llm.common import pieces
 from namewright.llm.components import connected_components
 
 
@@ -180,3 +182,10 @@ def test_shards_are_near_weights(spark):
     # Movement is confined: within the heavier region nothing moves, and nothing leaves it.
     assert all(r.b == r.a for r in rows if r.a >= 4) and all(r.b == r.a or r.b >= 4 for r in rows)
     assert abs(sum(r.c == 8 for r in rows) - 40_000 / 9) < 400
+
+
+def test_pieces_keep_every_row_in_order():
+    pdf = pd.DataFrame({"text": ["a" * 5, None, "", "b" * 30, "c", None, "d" * 4], "rid": range(7)})
+    assert [p["rid"].tolist() for p in pieces(pdf, 8)] == [[0, 1, 2, 3], [4, 5, 6]]
+    assert [p["rid"].tolist() for p in pieces(pdf, 1 << 20)] == [list(range(7))]
+    assert [p["rid"].tolist() for p in pieces(pdf.assign(text=None), 8)] == [list(range(7))]
