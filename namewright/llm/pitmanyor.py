@@ -1,15 +1,17 @@
 """A hierarchical Pitman-Yor bigram model over the corpus, and scores of texts under it.
 
-Restaurants.  The context of a token is the word before it, hashed into CONTEXTS restaurants (0 is
-the start of a text), so a frequent word has nearly one of its own; all of them have the unigram
-restaurant as parent, whose base is uniform over the V training words and one class for all others.
+Restaurants.  The context of a token is the word before it (or the start of a text), known by its
+64-bit hash; each has a restaurant of its own, and all of them have the unigram restaurant as parent,
+whose base is uniform over the V training words and one class for all others.
 
 Seating is kept as numbers of tables for each (context, word) and each word and sampled by Gibbs: a
 number of tables given all others has weights of generalized Stirling numbers, of opening that many
 tables, and of the parent's probability.  Words are dealt to shards by hash, so all restaurants'
 tables of a word and its seating in the parent are in one place; shards share only the restaurants'
-totals, which are summed after each epoch (a vector of CONTEXTS numbers).  Draws have fixed seeds, so a
-shard that is lost, or the next epoch, repeats earlier sweeps exactly and no seating is stored.
+totals, which are summed after each epoch: each shard sends its part for every context it holds or is
+asked for to the owner of a range of contexts, and gets the sums of just those back (see `_shared`), so
+no one place holds all contexts.  Draws have fixed seeds, so a shard that is lost, or the next epoch,
+repeats earlier sweeps exactly and no seating is stored.
 Predictive probabilities are averaged over the last sweeps.
 
 Texts never move.  Each block of texts asks the shards for its distinct (word, context) pairs with
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from namewright.llm.common import hash_words, scratch, stored, utf8
 
 FOLDS, HELD_OUT = 7, 2
+#: The least stride of the codes of pairs (word * stride + context); no bound on contexts.
 CONTEXTS = 4096
 BLOCK_TOKENS = 3_000_000
 SPLIT_TOKENS = 200_000
@@ -42,15 +45,46 @@ EPOCHS, SAMPLES = 2, 3
 STRENGTH = 1.0
 STIRLING_ROWS, STIRLING_COLUMNS = 1024, 48
 END = np.uint64(0x5851F42D4C957F2D)
-REQUEST = "r int, b string, words binary, degree binary, context binary, n binary"
+START = np.uint64(0)
+COUNTS = "r int, words binary, degree binary, context binary, n binary, keys binary"
+REQUEST = "r int, b string, words binary, degree binary, context binary, n binary, keys binary"
 
 
 def packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """The first bytes of all numbers, then the second ones and so on, compressed."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def unpacked(raw: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).reshape(-1).view(kind)
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, packed in as few bytes each as the largest needs."""
+    most = int(x.max()) if len(x) else 0
+    return packed(x.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max)))
+
+
+def widened(raw: bytes, count: int) -> np.ndarray:
+    """`count` whole numbers packed at any width."""
+    size = len(zstandard.ZstdDecompressor().decompress(raw)) // max(count, 1)
+    return unpacked(raw, np.dtype(f"u{size or 1}")).astype(np.int64)
+
+
+def packed_keys(x: np.ndarray) -> bytes:
+    """Ascending hashes, as their differences."""
+    return packed(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, np.uint64), dtype=np.uint64)
+
+
+def stride(contexts: int) -> int:
+    return max(CONTEXTS, contexts)
 
 
 # --- tokens --------------------------------------------------------------------------------------
@@ -71,9 +105,13 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def contexts_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def contexts_of(hashes: np.ndarray, sizes: np.ndarray, word: np.ndarray | None = None) -> np.ndarray:
+    """The context of each token: 0 at the start of a text, else 1 + the place of the word before it
+    among the distinct words of all these texts, ascending (word: each token's own place there)."""
+    if word is None:
+        word = np.unique(hashes, return_inverse=True)[1]
     ctx = np.zeros(len(hashes), np.int64)
-    ctx[1:] = (hashes[:-1] % np.uint64(CONTEXTS - 1)).astype(np.int64) + 1
+    ctx[1:] = word[:-1] + 1
     ctx[(np.cumsum(sizes) - sizes)] = 0
     return ctx
 
@@ -87,7 +125,7 @@ class Block:
     sizes: np.ndarray
     words: np.ndarray  # distinct, ascending
     degree: np.ndarray  # contexts of each word
-    context: np.ndarray  # of each pair, by word and context
+    context: np.ndarray  # of each pair, by word and context: 0 or 1 + a place in words
     pair: np.ndarray  # of each token
     word: np.ndarray  # of each token
 
@@ -95,9 +133,9 @@ class Block:
 def _block(name: str, ids: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> Block:
     h, size = np.concatenate(hashes), np.concatenate(sizes)
     words, word = np.unique(h, return_inverse=True)
-    code = word * CONTEXTS + contexts_of(h, size)
-    codes, pair = np.unique(code, return_inverse=True)
-    return Block(name, ids, size, words, np.bincount(codes // CONTEXTS, minlength=len(words)), codes % CONTEXTS, pair, word)
+    by = stride(len(words) + 1)
+    codes, pair = np.unique(word * by + contexts_of(h, size, word), return_inverse=True)
+    return Block(name, ids, size, words, np.bincount(codes // by, minlength=len(words)), codes % by, pair, word)
 
 
 def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
@@ -151,11 +189,12 @@ def _requests(shards: int):
         for b in blocks(batches):
             known = np.repeat([not is_held_out(i) for i in b.ids], b.sizes)
             n = np.bincount(b.pair[known], minlength=len(b.context))
-            rows = [
-                (r, b.name, b.words[w].tobytes(), packed(b.degree[w].astype(np.uint16)), packed(b.context[p].astype(np.uint16)), packed(n[p].astype(np.uint32)))
-                for r, w, p in _cuts(b.words, b.degree, shards)
-            ]
-            yield pd.DataFrame(rows, columns=["r", "b", "words", "degree", "context", "n"])
+            hashes = np.r_[START, b.words]
+            rows = []
+            for r, w, p in _cuts(b.words, b.degree, shards):
+                own, context = np.unique(b.context[p], return_inverse=True)
+                rows.append((r, b.name, b.words[w].tobytes(), narrow(b.degree[w]), narrow(context), narrow(n[p]), packed_keys(hashes[own])))
+            yield pd.DataFrame(rows, columns=["r", "b", "words", "degree", "context", "n", "keys"])
 
     return run
 
@@ -164,22 +203,28 @@ def _requests(shards: int):
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The training counts of a shard: pairs with a count, by word and context."""
+    """The training counts of a shard: pairs with a count, by word and context, and the contexts (also
+    those that are only asked for)."""
     words = [np.frombuffer(x, np.uint64) for x in pdf["words"]]
-    every = np.unique(np.concatenate(words), return_index=True)[0]
+    every = np.unique(np.concatenate(words))
+    keys = np.unique(np.concatenate([unpacked_keys(x) for x in pdf["keys"]]))
+    by = stride(len(keys))
     codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
-    for w, d, c, n in zip(words, pdf["degree"], pdf["context"], pdf["n"], strict=True):
-        n = unpacked(n, np.uint32).astype(np.int64)
-        code = np.repeat(np.searchsorted(every, w), unpacked(d, np.uint16)) * CONTEXTS + unpacked(c, np.uint16)
+    for w, d, c, n, k in zip(words, pdf["degree"], pdf["context"], pdf["n"], pdf["keys"], strict=True):
+        d = widened(d, len(w))
+        pairs = int(d.sum())
+        n = widened(n, pairs)
+        code = np.repeat(np.searchsorted(every, w), d) * by + np.searchsorted(keys, unpacked_keys(k))[widened(c, pairs)]
         held.append((code[n > 0], n[n > 0]))
         size += len(code)
         if size > 4_000_000:
             codes, counts, held, size = *_summed(codes, counts, held), [], 0
     codes, counts = _summed(codes, counts, held)
-    own, degree = np.unique(codes // CONTEXTS, return_counts=True)
-    return pd.DataFrame([(pdf["r"].iloc[0], every[own].tobytes(), packed(degree.astype(np.uint16)), packed((codes % CONTEXTS).astype(np.uint16)), packed(counts.astype(np.uint64)))], columns=["r", "words", "degree", "context", "n"])
+    own, degree = np.unique(codes // by, return_counts=True)
+    row = (pdf["r"].iloc[0], every[own].tobytes(), narrow(degree), narrow(codes % by), narrow(counts), packed_keys(keys))
+    return pd.DataFrame([row], columns=["r", "words", "degree", "context", "n", "keys"])
 
 
 def _summed(codes: np.ndarray, counts: np.ndarray, held: list) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +238,7 @@ def _summed(codes: np.ndarray, counts: np.ndarray, held: list) -> tuple[np.ndarr
 
 @dataclass
 class Totals:
-    """What shards share: customers and tables of the contexts, customers and tables of the root."""
+    """What shards share: customers and tables of a shard's contexts, customers and tables of the root."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -255,9 +300,9 @@ class Shard:
     def __init__(self, row, prior: Prior) -> None:
         self.r, self.prior = int(row.r), prior
         self.words = np.frombuffer(row.words, np.uint64)
-        self.word = np.repeat(np.arange(len(self.words)), unpacked(row.degree, np.uint16))
-        self.context = unpacked(row.context, np.uint16).astype(np.int64)
-        self.count = unpacked(row.n, np.uint64).astype(np.int64)
+        self.word = np.repeat(np.arange(len(self.words)), widened(row.degree, len(self.words)))
+        self.context = widened(row.context, len(self.word))
+        self.count = widened(row.n, len(self.word))
         self.tables = np.ones(len(self.count), np.int64)
         self.seats = self._seats()
         self.root = np.ones(len(self.words), np.int64)
@@ -290,7 +335,7 @@ class Shard:
             self.sweep(totals)
 
 
-def _answers(shard: Shard, history: list[Totals], requests: pd.DataFrame) -> Iterator[tuple]:
+def _answers(shard: Shard, keys: np.ndarray, history: list[Totals], requests: pd.DataFrame) -> Iterator[tuple]:
     """For each request the log10 of the averaged probability of its pairs, and its words' counts."""
     p = shard.prior
     shard.replay(history[:-1])
@@ -299,18 +344,19 @@ def _answers(shard: Shard, history: list[Totals], requests: pd.DataFrame) -> Ite
     for _ in range(SAMPLES):
         shard.sweep(last)
         samples.append((shard.tables, shard.seats, shard.root))
-    codes = shard.word * CONTEXTS + shard.context
+    by = stride(len(keys))
+    codes = shard.word * by + shard.context
     total = np.bincount(shard.word, weights=shard.count, minlength=len(shard.words)).astype(np.int64)
     tables = np.mean([s[0] for s in samples], axis=0) if len(codes) else np.zeros(0)
     up = np.mean([shard.parent(last, s[1], s[2]) for s in samples], axis=0) if len(shard.words) else np.zeros(0)
     unseen = (STRENGTH + p.d0 * last.root_tables) * p.base / (STRENGTH + last.root_customers)
-    for b, words, degree, context in zip(requests["b"], requests["words"], requests["degree"], requests["context"], strict=True):
+    for b, words, degree, context, names in zip(requests["b"], requests["words"], requests["degree"], requests["context"], requests["keys"], strict=True):
         words = np.frombuffer(words, np.uint64)
         at, there = _find(shard.words, words)
-        ctx = unpacked(context, np.uint16).astype(np.int64)
-        own = np.repeat(np.arange(len(words)), unpacked(degree, np.uint16))
+        own = np.repeat(np.arange(len(words)), widened(degree, len(words)))
+        ctx = np.searchsorted(keys, unpacked_keys(names))[widened(context, len(own))]
         parent = np.where(there, up[at] if len(up) else 0.0, unseen)[own]
-        place, seen = _find(codes, np.where(there, at, -1)[own] * CONTEXTS + ctx)
+        place, seen = _find(codes, np.where(there, at, -1)[own] * by + ctx)
         held = np.where(seen, np.maximum(shard.count[place] - p.d1 * tables[place], 0) if len(codes) else 0.0, 0.0)
         value = (held + (STRENGTH + p.d1 * last.tables[ctx]) * parent) / (STRENGTH + last.customers[ctx])
         yield b, shard.r, packed(np.log10(value).astype(np.float32)), packed(np.where(there, total[at] if len(total) else 0, 0).astype(np.uint64))
@@ -326,58 +372,107 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 # --- training and scoring ------------------------------------------------------------------------
 
 
-def _sums(frame: DataFrame) -> dict[int, tuple]:
-    """Summed rows (at, x, y) of shards: CONTEXTS + 4 rows at most."""
-    rows = frame.groupBy("at").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
-    return {r["at"]: (float(r.x), float(r.y)) for r in rows}
+FIGURES = ["one", "two", "alone", "paired", "words", "tokens", "root_tables", "root_customers"]
+SENT = "k int, r int, keys binary, x binary, y binary"
+TOLD = "r int, k int, size long, x binary, y binary"
+
+
+def _messages(r: int, keys: np.ndarray, x: np.ndarray | None, y: np.ndarray, shards: int, figures: dict[str, float]) -> pd.DataFrame:
+    """A shard's parts of the customers x (sent once) and tables y of its contexts to the owners k of
+    ranges of contexts, and its figures to owner -1."""
+    edge = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 64) // shards))
+    edge = [0, *edge.tolist(), len(keys)]
+    rows = [(-1, r, b"", packed(np.array([figures.get(f, 0.0) for f in FIGURES])), b"")]
+    for k in range(shards):
+        at = slice(edge[k], edge[k + 1])
+        if at.start < at.stop:
+            rows.append((k, r, packed_keys(keys[at]), b"" if x is None else narrow(x[at]), narrow(y[at])))
+    return pd.DataFrame(rows, columns=["k", "r", "keys", "x", "y"])
+
+
+def _owner(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums over shards, told to each in the order it sent its contexts."""
+    k = pdf["k"].iloc[0]
+    if k < 0:
+        return pd.DataFrame([(-1, -1, 0, packed(np.sum([unpacked(x, float) for x in pdf["x"]], axis=0)), b"")], columns=["r", "k", "size", "x", "y"])
+    keys = [unpacked_keys(x) for x in pdf["keys"]]
+    sizes = [len(x) for x in keys]
+    place = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    told = {"r": pdf["r"], "k": k, "size": sizes}
+    for c in "xy":
+        if not all(pdf[c]):
+            told[c] = b""
+            continue
+        parts = np.concatenate([widened(x, n) for x, n in zip(pdf[c], sizes, strict=True)])
+        sums = np.bincount(place, weights=parts)[place].astype(np.int64)
+        told[c] = [narrow(x) for x in np.split(sums, np.cumsum(sizes)[:-1])]
+    return pd.DataFrame(told)[["r", "k", "size", "x", "y"]]
+
+
+def _shared(sent: DataFrame, shards: int) -> tuple[str, dict[str, float]]:
+    """The folder of the sums for each shard, and the summed figures."""
+    spark = sent.sparkSession
+    path = scratch(spark, "lm-totals")
+    told = sent.groupBy("k").applyInPandas(_owner, TOLD)
+    told.repartition(shards, "r").write.option("compression", "uncompressed").partitionBy("r").parquet(path)
+    row = spark.read.schema(TOLD).parquet(path).where("r = -1").first()
+    return path, dict(zip(FIGURES, unpacked(row.x, float).tolist() if row else [0.0] * len(FIGURES), strict=True))
 
 
-def _per_context(sums: dict[int, tuple], i: int) -> np.ndarray:
-    out = np.zeros(CONTEXTS)
-    for k, v in sums.items():
-        if 0 <= k < CONTEXTS:
-            out[k] = v[i]
+@dataclass
+class Epoch:
+    """Where the totals that sweeps started from are, and those of the root."""
+
+    path: str
+    root_customers: float
+    root_tables: float
+
+
+def _totals(row, history: list[Epoch]) -> list[Totals]:
+    """A shard's totals at the start of each epoch."""
+    out: list[Totals] = []
+    for e in history:
+        store, root = fs.FileSystem.from_uri(e.path)
+        got = pq.read_table(f"{root}/r={row.r}", filesystem=store, partitioning=None).sort_by("k").to_pydict()
+        read = lambda c, got=got: np.concatenate([widened(x, n) for x, n in zip(got[c], got["size"], strict=True)]).astype(float)
+        out.append(Totals(out[0].customers if out else read("x"), read("y"), e.root_customers, e.root_tables))
     return out
 
 
-def train(counts: DataFrame) -> tuple[Prior, list[Totals]]:
-    """counts: a row for each shard (r, words, degree, context, n) -> the prior, and the totals that
-    each epoch of sweeps started from."""
+def train(counts: DataFrame, shards: int) -> tuple[Prior, list[Epoch]]:
+    """counts: a row for each shard (r, words, degree, context, n, keys) -> the prior, and the totals
+    that each epoch of sweeps started from."""
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                c, ctx = unpacked(row.n, np.uint64).astype(float), unpacked(row.context, np.uint16)
-                degree = unpacked(row.degree, np.uint16)
-                x, y = np.bincount(ctx, weights=c, minlength=CONTEXTS), np.bincount(ctx, minlength=CONTEXTS)
-                more = [(CONTEXTS, (c == 1).sum(), (c == 2).sum()), (CONTEXTS + 1, (degree == 1).sum(), (degree == 2).sum()), (CONTEXTS + 2, len(degree), c.sum())]
-                yield pd.DataFrame([*((i, x[i], y[i]) for i in np.flatnonzero(x)), *more], columns=["at", "x", "y"]).astype({"at": "int64", "x": float, "y": float})
-
-    sums = _sums(counts.mapInPandas(tell, "at long, x double, y double"))
-
-    def discount(at: int) -> float:
-        one, two = sums.get(at, (0.0, 0.0))
+                keys, degree = unpacked_keys(row.keys), widened(row.degree, len(row.words) // 8)
+                ctx = widened(row.context, int(degree.sum()))
+                c = widened(row.n, len(ctx))
+                x, y = np.bincount(ctx, weights=c, minlength=len(keys)).astype(np.int64), np.bincount(ctx, minlength=len(keys))
+                seen = dict(one=(c == 1).sum(), two=(c == 2).sum(), alone=(degree == 1).sum(), paired=(degree == 2).sum(), words=len(degree), tokens=c.sum(), root_customers=len(c))
+                yield _messages(row.r, keys, x, y, shards, seen)
+
+    def discount(one: float, two: float) -> float:
         return min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
 
-    words, tokens = sums.get(CONTEXTS + 2, (0.0, 0.0))
-    prior = Prior(discount(CONTEXTS), discount(CONTEXTS + 1), int(words), int(tokens))
-    tables = _per_context(sums, 1)
-    history = [Totals(_per_context(sums, 0), tables, float(tables.sum()), words)]
+    path, f = _shared(counts.mapInPandas(tell, SENT), shards)
+    prior = Prior(discount(f["one"], f["two"]), discount(f["alone"], f["paired"]), int(f["words"]), int(f["tokens"]))
+    history = [Epoch(path, f["root_customers"], f["words"])]
 
     for _ in range(EPOCHS):
 
-        def epoch(batches: Iterator[pd.DataFrame], history: list[Totals] = history[:]) -> Iterator[pd.DataFrame]:
+        def epoch(batches: Iterator[pd.DataFrame], history: list[Epoch] = history[:]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for row in pdf.itertuples():
                     shard = Shard(row, prior)
-                    shard.replay(history)
-                    y = np.bincount(shard.context, weights=shard.tables, minlength=CONTEXTS)
-                    more = [(CONTEXTS, float(shard.root.sum()), float(shard.seats.sum()))]
-                    yield pd.DataFrame([*((i, 0.0, y[i]) for i in np.flatnonzero(y)), *more], columns=["at", "x", "y"])
-
-        sums = _sums(counts.mapInPandas(epoch, "at long, x double, y double"))
-        root = sums.get(CONTEXTS, (0.0, 0.0))
-        history = [*history, Totals(history[0].customers, _per_context(sums, 1), root[1], root[0])]
+                    shard.replay(_totals(row, history))
+                    keys = unpacked_keys(row.keys)
+                    y = np.bincount(shard.context, weights=shard.tables, minlength=len(keys)).astype(np.int64)
+                    yield _messages(row.r, keys, None, y, shards, dict(root_tables=shard.root.sum(), root_customers=shard.seats.sum()))
+
+        path, f = _shared(counts.mapInPandas(epoch, SENT), shards)
+        history = [*history, Epoch(path, f["root_customers"], f["root_tables"])]
     return prior, history
 
 
@@ -395,13 +490,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = rows.rdd.getNumPartitions()
     shards = 1 << max(2, (parts - 1).bit_length())
     asked = stored(rows.mapInPandas(_requests(shards), REQUEST), "lm-requests")
-    counts = stored(asked.groupBy("r").applyInPandas(_merge, "r int, words binary, degree binary, context binary, n binary").repartition(shards, "r"), "lm-counts")
+    counts = stored(asked.groupBy("r").applyInPandas(_merge, COUNTS).repartition(shards, "r"), "lm-counts")
     _freed(spark)
-    prior, history = train(counts)
+    prior, history = train(counts, shards)
     columns = ["b", "r", "logp", "count"]
 
     def answer(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_answers(Shard(next(mine.itertuples()), prior), history, theirs), columns=columns)
+        row = next(mine.itertuples())
+        return pd.DataFrame(_answers(Shard(row, prior), unpacked_keys(row.keys), _totals(row, history), theirs), columns=columns)
 
     told = counts.groupBy("r").cogroup(asked.groupBy("r")).applyInPandas(answer, "b string, r int, logp binary, count binary")
     path = scratch(spark, "lm-answers")

@@ -96,3 +96,45 @@ def test_probabilities_sum_to_one():
         mine[shard.word[at]] = shard.count[at] - prior.d1 * shard.tables[at]
         top = M.STRENGTH + prior.d1 * totals.tables[u]
         assert abs((mine.sum() + top * (parent.sum() + unseen)) / (M.STRENGTH + customers[u]) - 1) < 1e-9
+
+
+def test_each_word_is_a_context_of_its_own(spark):
+    """Two words that shared a restaurant when contexts were hashed into 4,096 are told apart."""
+    place = {}
+    for i in range(20_000):
+        word = f"w{i}"
+        other = place.setdefault(int(M.hash_words([word.encode()])[0] % np.uint64(4095)), word)
+        if other != word:
+            break
+    ids = [i for i in range(4000) if not held(i)][:2000]
+    rows = [(d, f"{other} left" if n % 2 else f"{word} right") for n, d in enumerate(ids)]
+    asked = [i for i in range(4000, 5000) if held(i)][:4]
+    rows += zip(asked, [f"{other} left", f"{word} right", f"{other} right", f"{word} left"], strict=True)
+    score = {r.doc_id: r.score for r in M.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # The word before settles what follows: what is left is the choice of the first word.
+    assert abs(score[asked[0]] - math.log10(0.5)) < 0.05 and abs(score[asked[1]] - math.log10(0.5)) < 0.05
+    assert score[asked[2]] < score[asked[0]] - 2 and score[asked[3]] < score[asked[1]] - 2
+
+
+def test_contexts_grow_with_the_words():
+    words = M.hash_words([f"w{i}".encode() for i in range(20_000)])
+    assert len(np.unique(M.contexts_of(words, np.array([len(words)])))) == 20_000
+
+
+def test_totals_are_summed_over_shards(spark, documents):
+    """What shards are told of a context: all its customers, and the numbers of its followers."""
+    rows = [("s", str(r.doc_id), r.text) for r in documents.collect()]
+    asked = pd.concat(M._requests(4)(iter([pd.DataFrame(rows, columns=["split", "id", "text"])])))
+    merged = pd.concat([M._merge(g) for _, g in asked.groupby("r")])
+    _, history = M.train(spark.createDataFrame(list(merged.itertuples(index=False, name=None)), M.COUNTS), 4)
+    after = {}
+    for _, d, text in rows:
+        if not held(d):
+            before = M.START
+            for h in M.tokens_of([M.utf8(text)])[0]:
+                after.setdefault(int(before), Counter())[int(h)] += 1
+                before = h
+    for row in merged.itertuples():
+        totals = M._totals(row, history)[0]
+        for key, x, y in zip(M.unpacked_keys(row.keys).tolist(), totals.customers, totals.tables, strict=True):
+            assert x == sum(after.get(key, {}).values()) and y == len(after.get(key, {}))
