@@ -20,6 +20,7 @@ their training counts; the same table makes the counts and, after sampling, carr
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
 import zlib
@@ -43,7 +44,9 @@ BLOCK_TOKENS = 3_000_000
 SPLIT_TOKENS = 200_000
 EPOCHS, SAMPLES = 2, 3
 STRENGTH = 1.0
-STIRLING_ROWS, STIRLING_COLUMNS = 1024, 48
+STIRLING_ROWS = 1024
+#: The saddle point serves where the series of log_stirling would cancel more than twice this many e-folds.
+SADDLE_FROM = 4.0
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0)
 COUNTS = "r int, words binary, degree binary, context binary, n binary, keys binary"
@@ -260,8 +263,10 @@ class Prior:
         return 1.0 / (self.vocabulary + 1)
 
 
-def stirling(d: float, rows: int = STIRLING_ROWS, columns: int = STIRLING_COLUMNS) -> np.ndarray:
-    """log S_d(n, t) for n < rows, t <= columns: S(n+1, t) = S(n, t-1) + (n - t d) S(n, t)."""
+@functools.lru_cache(4)
+def stirling(d: float, rows: int = STIRLING_ROWS) -> np.ndarray:
+    """log S_d(n, t) for t <= n < rows: S(n+1, t) = S(n, t-1) + (n - t d) S(n, t)."""
+    columns = rows - 1
     out = np.full((rows, columns + 1), -np.inf)
     out[1, 1] = 0.0
     t = np.arange(columns + 1)
@@ -272,25 +277,130 @@ def stirling(d: float, rows: int = STIRLING_ROWS, columns: int = STIRLING_COLUMN
     return out
 
 
+def log_gamma(z: np.ndarray) -> np.ndarray:
+    """Of positive numbers: Stirling's series after a shift by 8."""
+    z = np.asarray(z, float)
+    y = z + 8
+    tail = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / y**2) / y**2) / y**2) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + tail - np.log(functools.reduce(np.multiply, [z + i for i in range(8)]))
+
+
+def log_stirling(d: float, n: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """log S_d(n, t) for 1 <= t <= n and large n, up to a factor that hangs on n alone.
+
+    S_d(n, t) is n!/t! times the coefficient of x^n in ((1 - (1 - x)^d) / d)^t.  While t is small against
+    n^d its expansion around x = 1, a finite sum, is summed; else the coefficient is taken from the
+    saddle point with its second-order term.
+    """
+    n, t = np.asarray(n, float), np.asarray(t, float)
+    out = np.zeros(len(n))
+    near = (1 - d) / d * np.exp((np.log(d) + np.log(t) - d * np.log(n)) / (1 - d)) <= SADDLE_FROM
+    i = np.flatnonzero(near)
+    if len(i):
+        a, b = n[i], t[i]
+        first = np.log(b) + log_gamma(a - d) - log_gamma(a)
+        total, live, j = np.zeros(len(i)), np.arange(len(i)), 1
+        ways, scale = np.zeros(len(i)), first + log_gamma(a)
+        while len(live):
+            x, y = a[live], b[live]
+            ways[live] += np.log((y - j + 1) / j)
+            size = ways[live] + log_gamma(x - j * d) + log_gamma(np.array(1 + j * d)) - scale[live]
+            total[live] += np.exp(size) * np.sin(np.pi * j * d) * (1 if j % 2 else -1) / np.pi
+            # Terms fall from about SADDLE_FROM / (1 - d) on; what is left then is below rounding.
+            past = (size < -60) & (j > 2 * SADDLE_FROM / (1 - d)) if j > 2 else np.zeros(len(live), bool)
+            j += 1
+            live = live[~past & (y >= j)]
+        out[i] = np.log(np.maximum(total, 1e-300)) + first - log_gamma(b + 1) - b * np.log(d) + log_gamma(a)
+    i = np.flatnonzero(~near & (t < n))
+    if len(i):
+        a, b = n[i], t[i]
+        low, high = np.full(len(i), -300.0), np.zeros(len(i))
+        start = np.log(b * d / a)
+        for _ in range(14):
+            v = (low + high) / 2
+            over = start + np.log(np.expm1(v) / np.expm1(d * v)) + (d - 1) * v > 0
+            low, high = np.where(over, v, low), np.where(over, high, v)
+        v = (low + high) / 2
+        for _ in range(6):
+            up, all_up = np.expm1(v), np.expm1(d * v)
+            slope = (up + 1) / up - d * (all_up + 1) / all_up + d - 1
+            v = np.clip(v - (start + np.log(up / all_up) + (d - 1) * v) / slope, low, np.minimum(high, -1e-12))
+        x, r = -np.expm1(v), np.exp(v)
+        m, c = a / b, (1 - d) * x / r
+        q = 1 + c - m
+        q1 = c / r - m * q
+        q2 = c * (1 + x) / r**2 - m * q * q - m * q1
+        k2, k3, k4 = a * q, a * (q * q + q1), a * (q**3 + 3 * q * q1 + q2)
+        more = 1 + k4 / (8 * k2**2) - 5 * k3**2 / (24 * k2**3)
+        out[i] = log_gamma(a + 1) - log_gamma(b + 1) - b * np.log(d) + b * np.log(-np.expm1(d * v)) - a * np.log(x) - 0.5 * np.log(2 * np.pi * k2) + np.log(np.maximum(more, 0.5))
+    return out
+
+
+def _draw_many(rng: np.random.Generator, count: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float) -> np.ndarray:
+    """draw_tables for counts beyond the table: the weights are log-concave, so the mode is found by
+    bisection and numbers are drawn from all around it that have a weight in double precision."""
+    strength = STRENGTH / d + others
+
+    def weight(i: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return log_stirling(d, count[i], t) + log_gamma(strength[i] + t) - log_gamma(strength[i]) + t * np.log(d * parent[i])
+
+    def last(drop: float, sign: int) -> np.ndarray:
+        """The largest t where the weight still rises (sign 0), or the edge of its support to one side."""
+        low, high = (np.ones(len(count), np.int64), mode.copy()) if sign < 0 else (mode.copy(), count.copy())
+        while (low < high).any():
+            t = (low + high + (sign > 0)) // 2
+            inside = weight(every, t) > top - drop
+            low, high = (np.where(inside, t, low), np.where(inside, high, t - 1)) if sign > 0 else (np.where(inside, low, t + 1), np.where(inside, t, high))
+            high = np.maximum(low, high)
+        return low
+
+    every = np.arange(len(count))
+    low, high = np.ones(len(count), np.int64), count.astype(np.int64)
+    while (low < high).any():
+        t = (low + high) // 2
+        rises = weight(every, np.minimum(t + 1, count)) > weight(every, t)
+        low, high = np.where(rises & (low < high), t + 1, low), np.where(rises, high, t)
+        low = np.minimum(low, high)
+    mode = low
+    top = weight(every, mode)
+    first, end = last(40.0, -1), last(40.0, 1)
+    out = np.ones(len(count), np.int64)
+    sizes = end - first + 1
+    for some in np.split(every, np.flatnonzero(np.diff(np.cumsum(sizes) // 500_000)) + 1):
+        own = np.repeat(some, sizes[some])
+        start = np.cumsum(sizes[some]) - sizes[some]
+        t = np.arange(len(own)) - np.repeat(start, sizes[some]) + first[own]
+        level = np.cumsum(np.exp(weight(own, t) - top[own]))
+        base = np.r_[0.0, level][start]
+        pick = base + rng.random(len(some)) * (level[start + sizes[some] - 1] - base)
+        at = np.clip(np.searchsorted(level, pick, side="right"), start, start + sizes[some] - 1)
+        out[some] = t[at]
+    return out
+
+
 def draw_tables(rng: np.random.Generator, table: np.ndarray, count: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float) -> np.ndarray:
     """Numbers of tables (at least 1) of restaurants with `count` customers of a dish.
 
     others: tables of the restaurant's other dishes; parent: the parent's probability of the dish.
-    Rows beyond the table use its last: ratios of its columns have settled by then.
+    Counts within the table are drawn from its row, larger ones by _draw_many; no number is ruled out.
     """
     out = np.ones(len(count), np.int64)
-    todo = np.flatnonzero(count > 1)
-    width = np.minimum(count[todo], STIRLING_COLUMNS)
-    for low, high in ((2, 2), (3, 3), (4, 6), (7, 15), (16, STIRLING_COLUMNS)):
+    todo = np.flatnonzero((count > 1) & (count < len(table)))
+    width = count[todo]
+    for low, high in ((2, 2), (3, 3), (4, 6), (7, 15), (16, 63), (64, 255), (256, len(table) - 1)):
         rows = todo[(width >= low) & (width <= high)]
-        for i in range(0, len(rows), 1 << 16):
-            at = rows[i : i + (1 << 16)]
+        step = max(1, (1 << 22) // max(high, 64))
+        for i in range(0, len(rows), step):
+            at = rows[i : i + step]
             t = np.arange(1, high + 1)
             opened = np.cumsum(np.log(STRENGTH + d * (others[at][:, None] + t - 1.0)), axis=1)
-            weight = table[np.minimum(count[at], len(table) - 1), 1 : high + 1] + opened + t * np.log(parent[at])[:, None]
+            weight = table[count[at], 1 : high + 1] + opened + t * np.log(parent[at])[:, None]
             weight = np.exp(weight - weight.max(axis=1, keepdims=True))
             level = np.cumsum(weight, axis=1)
             out[at] = 1 + (level < rng.random(len(at))[:, None] * level[:, -1:]).sum(axis=1)
+    many = np.flatnonzero(count >= len(table))
+    if len(many):
+        out[many] = _draw_many(rng, count[many], others[many].astype(float), parent[many], d)
     return out
 
 
@@ -490,7 +600,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = rows.rdd.getNumPartitions()
     shards = 1 << max(2, (parts - 1).bit_length())
     asked = stored(rows.mapInPandas(_requests(shards), REQUEST), "lm-requests")
-    counts = stored(asked.groupBy("r").applyInPandas(_merge, COUNTS).repartition(shards, "r"), "lm-counts")
+    counts = stored(asked.repartition(shards, "r").groupBy("r").applyInPandas(_merge, COUNTS), "lm-counts")
     _freed(spark)
     prior, history = train(counts, shards)
     columns = ["b", "r", "logp", "count"]

@@ -138,3 +138,27 @@ def test_totals_are_summed_over_shards(spark, documents):
         totals = M._totals(row, history)[0]
         for key, x, y in zip(M.unpacked_keys(row.keys).tolist(), totals.customers, totals.tables, strict=True):
             assert x == sum(after.get(key, {}).values()) and y == len(after.get(key, {}))
+
+
+def test_numbers_of_tables_have_no_bound():
+    """Draws for counts of hundreds and thousands against the whole recursion of Stirling numbers."""
+    for n, d, others, parent in ((300, 0.762, 8000.0, 0.03), (3000, 0.762, 30_000.0, 0.02), (9868, 0.762, 4000.0, 0.06), (2000, 0.5, 900.0, 0.9), (5000, 0.3, 5.0, 0.3)):
+        most = min(n, 1500)
+        t = np.arange(most + 1)
+        row = np.where(t == 1, 0.0, -np.inf)
+        for k in range(1, n):
+            grow = np.where(k > t * d, np.log(np.maximum(k - t * d, 1e-300)), -np.inf) + row
+            row = np.logaddexp(grow, np.r_[-np.inf, row[:-1]])
+        weight = row[1:] + np.cumsum(np.log(M.STRENGTH + d * (others + t[:-1]))) + t[1:] * math.log(parent)
+        weight = np.exp(weight - weight.max())
+        assert weight[-1] < 1e-9 or most == n
+        weight /= weight.sum()
+        mean = (weight * t[1:]).sum()
+        spread = math.sqrt((weight * (t[1:] - mean) ** 2).sum())
+        size = 2000
+        drawn = M.draw_tables(np.random.default_rng(3), M.stirling(d), np.full(size, n), np.full(size, others), np.full(size, parent), d)
+        assert abs(drawn.mean() - mean) < 5 * spread / math.sqrt(size) + 1e-3, (n, drawn.mean(), mean)
+        assert abs(drawn.std() - spread) < 0.08 * spread + 1e-3
+        seen = np.bincount(drawn, minlength=most + 1)[1 : most + 1].cumsum() / size
+        assert np.abs(seen - weight.cumsum()).max() < 0.05
+        assert (mean > 60) == (n != 5000)
