@@ -196,7 +196,7 @@ def _requests(shards: int):
             rows = []
             for r, w, p in _cuts(b.words, b.degree, shards):
                 own, context = np.unique(b.context[p], return_inverse=True)
-                rows.append((r, b.name, b.words[w].tobytes(), narrow(b.degree[w]), narrow(context), narrow(n[p]), packed_keys(hashes[own])))
+                rows.append((r, b.name, packed_keys(b.words[w]), narrow(b.degree[w]), narrow(context), narrow(n[p]), packed_keys(hashes[own])))
             yield pd.DataFrame(rows, columns=["r", "b", "words", "degree", "context", "n", "keys"])
 
     return run
@@ -208,7 +208,7 @@ def _requests(shards: int):
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     """The training counts of a shard: pairs with a count, by word and context, and the contexts (also
     those that are only asked for)."""
-    words = [np.frombuffer(x, np.uint64) for x in pdf["words"]]
+    words = [unpacked_keys(x) for x in pdf["words"]]
     every = np.unique(np.concatenate(words))
     keys = np.unique(np.concatenate([unpacked_keys(x) for x in pdf["keys"]]))
     by = stride(len(keys))
@@ -461,7 +461,7 @@ def _answers(shard: Shard, keys: np.ndarray, history: list[Totals], requests: pd
     up = np.mean([shard.parent(last, s[1], s[2]) for s in samples], axis=0) if len(shard.words) else np.zeros(0)
     unseen = (STRENGTH + p.d0 * last.root_tables) * p.base / (STRENGTH + last.root_customers)
     for b, words, degree, context, names in zip(requests["b"], requests["words"], requests["degree"], requests["context"], requests["keys"], strict=True):
-        words = np.frombuffer(words, np.uint64)
+        words = unpacked_keys(words)
         at, there = _find(shard.words, words)
         own = np.repeat(np.arange(len(words)), widened(degree, len(words)))
         ctx = np.searchsorted(keys, unpacked_keys(names))[widened(context, len(own))]
@@ -549,6 +549,14 @@ def _totals(row, history: list[Epoch]) -> list[Totals]:
     return out
 
 
+def _held(path: str, r: int) -> pd.DataFrame | None:
+    """The requests to a shard, from the shared folder."""
+    store, root = fs.FileSystem.from_uri(path)
+    if store.get_file_info(f"{root}/r={r}").type == fs.FileType.NotFound:
+        return None
+    return pq.read_table(f"{root}/r={r}", filesystem=store, partitioning=None).to_pandas().assign(r=r)
+
+
 def train(counts: DataFrame, shards: int) -> tuple[Prior, list[Epoch]]:
     """counts: a row for each shard (r, words, degree, context, n, keys) -> the prior, and the totals
     that each epoch of sweeps started from."""
@@ -599,17 +607,27 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), split.alias("split"))
     parts = rows.rdd.getNumPartitions()
     shards = 1 << max(2, (parts - 1).bit_length())
-    asked = stored(rows.mapInPandas(_requests(shards), REQUEST), "lm-requests")
-    counts = stored(asked.repartition(shards, "r").groupBy("r").applyInPandas(_merge, COUNTS), "lm-counts")
+    asked = scratch(spark, "lm-requests")
+    rows.mapInPandas(_requests(shards), REQUEST).repartition(shards, "r").write.option("compression", "uncompressed").partitionBy("r").parquet(asked)
     _freed(spark)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf["id"]:
+                mine = _held(asked, r)
+                if mine is not None:
+                    yield _merge(mine)
+
+    counts = stored(spark.range(0, shards, 1, shards).mapInPandas(merge, COUNTS), "lm-counts")
     prior, history = train(counts, shards)
-    columns = ["b", "r", "logp", "count"]
 
-    def answer(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        row = next(mine.itertuples())
-        return pd.DataFrame(_answers(Shard(row, prior), unpacked_keys(row.keys), _totals(row, history), theirs), columns=columns)
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                found = _answers(Shard(row, prior), unpacked_keys(row.keys), _totals(row, history), _held(asked, row.r))
+                yield pd.DataFrame(found, columns=["b", "r", "logp", "count"])
 
-    told = counts.groupBy("r").cogroup(asked.groupBy("r")).applyInPandas(answer, "b string, r int, logp binary, count binary")
+    told = counts.mapInPandas(answer, "b string, r int, logp binary, count binary")
     path = scratch(spark, "lm-answers")
     told.repartition(shards, "b").write.option("compression", "uncompressed").partitionBy("b").parquet(path)
     _freed(spark)
