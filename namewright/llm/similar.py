@@ -146,6 +146,28 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     null id is kept and names a group only where no other id is there; an empty table gives an empty
     result; other columns are not looked at.
     """
+    prints, placed = _grouped(docs, id_col, text_col, shingle, similarity)
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.select("id", "node").join(placed.join(named, "component").select("node", "component_id"), "node").select("id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of similar_documents: that of the smallest id, a null id last; of several
+    texts with that id the one of the least hash, of several rows with both the least row."""
+    prints, placed = _grouped(docs, id_col, text_col, shingle, similarity)
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("nameless"), "least", "node")).alias("first")).select("first.node", "first.least")
+    rows = prints.groupBy("node", "id").agg(F.count("*").alias("_rows"))
+    same = (rows["node"] == first["node"]) & rows["id"].eqNullSafe(first["least"])
+    chosen = stored(rows.join(first, same).select(rows["node"].alias("_node"), F.col("least").alias("_id"), "_rows"), "similar-chosen")
+    keyed = docs.withColumn("_key", _node(F.col(text_col)))
+    found = keyed.join(chosen, (F.col("_key") == F.col("_node")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
+    row = F.struct(*docs.columns)
+    many = found.where("_rows > 1").groupBy("_node").agg(F.min(row).alias("row")).select("row.*")
+    return found.where("_rows = 1").select(docs.columns).unionByName(many)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of rows, and (node, least, component) of texts: their smallest id and group."""
     if similarity < SIMILARITY:
         raise ValueError("the index is built for a similarity of 0.8 or more")
     prints = stored(_prints(docs, id_col, text_col, shingle), "similar-prints")
@@ -177,5 +199,4 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     over = late.join(of.toDF("u", "cu"), "u").join(of.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     last = connected_components(over, "similar-last").withColumnRenamed("node", "comp")
     placed = stored(known.select("node", "comp", "least").join(last, "comp", "left").select("node", "least", F.coalesce("component", "comp").alias("component")), "similar-placed")
-    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.select("id", "node").join(placed.join(named, "component").select("node", "component_id"), "node").select("id", "component_id")
+    return prints, placed

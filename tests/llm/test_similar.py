@@ -66,3 +66,20 @@ def test_similar_documents_equal_brute_force(spark, awkward):
     ):
         assert key(map(tuple, similar.similar_documents(docs).collect())) == key(slow_similar(rows))
     assert similar.similar_documents(awkward.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated rows, rows of one id and rows without an id leave one row of each group."""
+    import corpus_pipeline as cp
+
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    rows = [
+        (5, a, "en", "s2", 1), (5, a, "en", "s1", 1), (5, a, "en", "s1", 1), (None, a, "en", "s0", 1), (9, a + " more", "en", "s1", 1),
+        (None, b, "en", "s3", 1), (None, b, "en", "s2", 1), (None, b + " more", "en", "s2", 1), (7, c, "en", "s1", 1), (7, d, "en", "s1", 1), (7, d + " more", "en", "s1", 1),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = [tuple(r) for r in cp.near_copies(spark, spark.createDataFrame(rows, schema), "").collect()]
+    assert len(got) == 4
+    assert (5, a, "en", "s1", 1) in got and (7, c, "en", "s1", 1) in got
+    assert sum(r[0] is None for r in got) == 1 and sum(r[0] == 7 for r in got) == 2
+    assert all(r in rows for r in got)
