@@ -36,7 +36,8 @@ LEET = {
 COST_LEET, COST_KEEP, COST_DROP, COST_REPEAT, COST_VOWEL = 0.7, 0.0, 2.5, 0.2, 2.0
 SIZE = 28  # boundary, a-z, any other letter
 EDGE = ".,;:!?\"'()[]{}<>%&#*~`^=/\\…-_|$+"
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|+])(?![^\W_])){2,}")
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:(?:\s+|[ .\-_*~]{1,2})(?:[^\W_]|[@$!|+])(?![^\W_])){2,}")
+DOUBLED = re.compile(r"([^\W\d_])\1")
 SUSPECT = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[0-9@$|+*€£!._\-]\S*[^\W\d_]|\S*[0-9@$!]|\S*[аеорсхі]|\S*([^\W\d_])\1\1)\S+")
 
 
@@ -189,8 +190,22 @@ class Model:
         words = {token.strip(EDGE)}
         if SUSPECT.fullmatch(token):
             words |= _words(self.restorer.token(token))
+        words |= {self.restorer.decode(w) for w in words if self._repeats(w)}
         return tuple(sorted({f for w in words if w for f in features(w) if f in self.weights}))
 
+    def _repeats(self, word: str) -> bool:
+        """A word without a weight whose doubled letters may be repetitions; of letters alone, only if
+        some way of dropping them gives a feature, as no other decoding of it does."""
+        if word in self.weights or not DOUBLED.search(word):
+            return False
+        ways = {""}
+        if not word.isalpha() or not LEET.keys().isdisjoint(word) or len(DOUBLED.findall(word)) > 8:
+            return True
+        for i, c in enumerate(word):
+            kept = {w + c for w in ways}
+            ways = kept | ways if i and word[i - 1] == c else kept
+        return any(f in self.weights for w in ways for f in features(w))
+
     def score(self, text: str) -> float:
         """Of the text with noisy and spaced-out words restored."""
         low = text.lower()

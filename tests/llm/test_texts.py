@@ -254,6 +254,18 @@ def test_held_out_accuracy_and_awkward_rows(spark, awkward):
     assert toxicity.score_documents(noisy, model).first().predicted == 1
 
 
+def test_doubled_letters_and_letters_far_apart_reach_the_decoder():
+    import numpy as np
+
+    words = "idiot clown worthless moron pathetic disgusting trash loser stupid scum".split()
+    restorer = toxicity.Restorer(np.ones(toxicity.SIZE**3, np.int64), {w: 100.0 for w in words})
+    model = toxicity.Model({w: 9.0 for w in words}, -5.0, restorer)
+    for noisy in ("stuupid", "iddiot", "Stuupid!", "sccuum", "s\tt\tu\tp\ti\td", "s\nt\nu\np\ni\nd", "i   d   i   o   t"):
+        assert model.score(f"the {noisy} there") > 0.5, noisy
+    for clean in ("letter", "all good people agree", "a b c", "p\tq\nr"):
+        assert model.score(f"the {clean} there") < 0.5, clean
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
