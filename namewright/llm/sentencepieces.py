@@ -15,7 +15,6 @@ candidate an end survives and the path is the one that merging gives.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -31,7 +30,7 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CHUNK_CHARS = 2 << 20
-CACHE_UNITS = 300_000
+CACHE_UNITS = 100_000
 TOP_BITS = 20
 PAIR_SLOTS = 20  # bits
 
@@ -106,7 +105,6 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.pair_keys = np.full(1 << PAIR_SLOTS, -1, np.int64)
         self.pair_ok = np.zeros(1 << PAIR_SLOTS, bool)
-        self.valid = functools.lru_cache(300_000)(self._valid)
 
     def units(self, text: str) -> list[str]:
         escaped = text.replace(" ", SPACE)
@@ -191,7 +189,7 @@ class Encoder:
         slot = ((key.astype(np.uint64) * BASE) >> np.uint64(64 - PAIR_SLOTS)).astype(np.int64)
         ok = self.pair_ok[slot]
         for i in np.flatnonzero(self.pair_keys[slot] != key).tolist():
-            ok[i] = self.valid(int(left[i]), int(right[i]))
+            ok[i] = self._valid(int(left[i]), int(right[i]))
             self.pair_keys[slot[i]], self.pair_ok[slot[i]] = key[i], ok[i]
         return ok
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namewright.llm.common import mix64, per_batch, stored, utf8
+from namewright.llm.common import fresh, mix64, per_batch, stored, utf8
 from namewright.llm.components import connected_components
 from namewright.llm.simhash import majority, shingle_hashes
 
@@ -36,6 +36,11 @@ BANDS = 32
 POSITIONS = ROWS * BANDS
 LEAST = 126
 LAGS = 2
+#: One bit of each of the first samples; at 0.8 a tenth of them differ, and MOST_OFF is more than five
+#: standard errors over that.
+SKETCH, MOST_OFF = 128, 32
+#: Characters of texts whose shingles are held at once.
+PIECE = 1 << 21
 _ODD = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _SALT = mix64(np.arange(1001, 1001 + BANDS, dtype=np.uint64))
 
@@ -48,26 +53,31 @@ def samples(distinct: np.ndarray) -> np.ndarray:
     return least
 
 
-def index_row(text: bytes, shingle: int = SHINGLE) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Number of distinct shingles, 64-bit fingerprint, positional bytes, keys."""
+def index_row(text: bytes, shingle: int = SHINGLE) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of distinct shingles, 64-bit fingerprint, positional bytes, keys, sketch."""
     hashes = shingle_hashes(text, shingle)
-    least = samples(np.unique(hashes))
-    scrambled = mix64(least)
+    distinct = np.unique(hashes)
+    scrambled = mix64(samples(distinct))
     bands = scrambled.reshape(BANDS, ROWS)
     keys = _SALT.copy()
     for r in range(ROWS):
         keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, r])
-    return len(np.unique(hashes)), majority(hashes), scrambled.astype(np.uint8).view(np.int8), keys.view(np.int64)
+    sketch = np.packbits(scrambled[:SKETCH] >> np.uint64(63) != 0).view(np.int64)
+    return len(distinct), majority(hashes), scrambled.astype(np.uint8).view(np.int8), keys.view(np.int64), sketch
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Ids go through as strings, so that they are of any type and null ones stay exact."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, fp, pos, keys = zip(*(index_row(utf8(t), shingle) for t in pdf["text"]), strict=True)
+        n, fp, pos, keys, sketch = zip(*(index_row(utf8(t), shingle) for t in pdf["text"]), strict=True)
         fps = np.array(fp, np.uint64).view(np.int64)
-        return pd.DataFrame({"id": pdf["id"], "node": pdf["node"], "n": n, "fp": fps, "pos": list(pos), "keys": list(keys)})
+        one, two = np.array(sketch).T
+        return pd.DataFrame({"id": pdf["id"], "node": pdf["node"], "n": n, "fp": fps, "one": one, "two": two, "pos": [p.tobytes() for p in pos], "keys": list(keys)})
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), _node(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInPandas(per_batch(run), "id long, node long, n long, fp long, pos array<byte>, keys array<long>")
+    chosen = docs.select(F.col(id_col).cast("string").alias("id"), _node(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
+    made = chosen.mapInPandas(per_batch(run, PIECE), "id string, node long, n long, fp long, one long, two long, pos binary, keys array<long>")
+    return made.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 def _node(text: Column) -> Column:
@@ -103,8 +113,21 @@ def _to_hubs(postings: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
 
-def _tally(a: str, b: str) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+def _tallied(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) that share LEAST positional bytes, which are fetched once a pair."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            a, b = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, POSITIONS) for c in ("a", "b"))
+            yield pdf.loc[(a == b).sum(axis=1) >= LEAST, ["u", "v"]]
+
+    u, v = nodes.select(F.col("node").alias("u"), F.col("pos").alias("a")), nodes.select(F.col("node").alias("v"), F.col("pos").alias("b"))
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
+
+
+def _off(a: str, b: str) -> Column:
+    """How many bits of two sketches differ."""
+    return sum(F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in (1, 2))
 
 
 def _sizes_fit(a: str, b: str, similarity: float) -> Column:
@@ -120,7 +143,7 @@ def _sets(asked: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> Dat
 
     texts = docs.select(_node(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text")).join(asked, "node", "left_semi")
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
-    return stored(texts.mapInPandas(per_batch(run), "node long, held array<long>"), "similar-sets")
+    return stored(texts.mapInPandas(per_batch(run, PIECE), "node long, held array<long>"), "similar-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -153,17 +176,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of similar_documents: that of the smallest id, a null id last; of several
-    texts with that id the one of the least hash, of several rows with both the least row."""
+    texts with that id the one of the least hash, of several rows with both the least row.
+
+    Columns are as they were, whatever their names; an empty table gives an empty one."""
     prints, placed = _grouped(docs, id_col, text_col, shingle, similarity)
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("nameless"), "least", "node")).alias("first")).select("first.node", "first.least")
-    rows = prints.groupBy("node", "id").agg(F.count("*").alias("_rows"))
+    rows = prints.groupBy("node", "id").agg(F.count("*").alias("rows"))
     same = (rows["node"] == first["node"]) & rows["id"].eqNullSafe(first["least"])
-    chosen = stored(rows.join(first, same).select(rows["node"].alias("_node"), F.col("least").alias("_id"), "_rows"), "similar-chosen")
-    keyed = docs.withColumn("_key", _node(F.col(text_col)))
-    found = keyed.join(chosen, (F.col("_key") == F.col("_node")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-    row = F.struct(*docs.columns)
-    many = found.where("_rows > 1").groupBy("_node").agg(F.min(row).alias("row")).select("row.*")
-    return found.where("_rows = 1").select(docs.columns).unionByName(many)
+    node, key, many = fresh("node"), fresh("id"), fresh("rows")
+    chosen = stored(rows.join(first, same).select(rows["node"].alias(node), F.col("least").alias(key), F.col("rows").alias(many)), "similar-chosen")
+    found = docs.join(chosen, (_node(F.col(text_col)) == F.col(node)) & F.col(id_col).eqNullSafe(F.col(key)))
+    row, held = F.struct(*docs.columns), fresh("row")
+    rest = found.where(F.col(many) > 1).groupBy(node).agg(F.min(row).alias(held)).select(f"{held}.*")
+    return found.where(F.col(many) == 1).select(docs.columns).unionByName(rest)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -171,30 +196,32 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     if similarity < SIMILARITY:
         raise ValueError("the index is built for a similarity of 0.8 or more")
     prints = stored(_prints(docs, id_col, text_col, shingle), "similar-prints")
-    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("pos").alias("pos"), F.first("keys").alias("keys")), "similar-nodes")
+    own = ["n", "fp", "one", "two", "pos", "keys"]
+    nodes = stored(prints.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in own]), "similar-nodes")
     listed = nodes.select("node", "fp", F.explode("keys").alias("key"))
     near = stored(_adjacent(listed).unionByName(_to_hubs(listed)).distinct(), "similar-adjacent")
-    light = nodes.select("node", "n", "pos")
-    tried = near.join(light.toDF("u", "nu", "pu"), "u").join(light.toDF("v", "nv", "pv"), "v")
-    tried = stored(tried.where(_sizes_fit("nu", "nv", similarity) & (_tally("pu", "pv") >= LEAST)).select("u", "v"), "similar-tried")
+    light = nodes.select("node", "n", "one", "two")
+    tried = near.join(light.toDF("u", "nu", "u1", "u2"), "u").join(light.toDF("v", "nv", "v1", "v2"), "v")
+    tried = tried.where(_sizes_fit("nu", "nv", similarity) & (_off("u", "v") <= MOST_OFF)).select("u", "v")
+    tried = stored(_tallied(tried, nodes), "similar-tried")
     asked = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     links = _verified(tried, _sets(asked, docs, text_col, shingle), similarity)
     first = connected_components(links, "similar-first").withColumnRenamed("component", "comp")
-    known = stored(nodes.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "similar-known")
+    known = stored(nodes.drop("pos").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "similar-known")
     postings = known.select("node", "comp", F.explode("keys").alias("key"))
     sizes = postings.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1").select("key", F.col("top.comp").alias("top"))
     members = stored(postings.join(mixed, "key"), "similar-members")
     sets = _sets(members.select("node").distinct(), docs, text_col, shingle)
     # A text can't be similar to another one if too few of its shingles occur in any other.
-    able = known.select("node", "n", "pos").join(_met(sets), "node").where(F.col("m") >= F.col("n") * similarity - 1e-6)
+    able = known.select("node", "n", "one", "two").join(_met(sets), "node").where(F.col("m") >= F.col("n") * similarity - 1e-6)
     held = stored(members.join(able, "node"), "similar-mixed")
-    few = held.where("comp <> top").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("m").alias("mx"), F.col("pos").alias("px"))
-    rest = held.select("key", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("m").alias("my"), F.col("pos").alias("py"))
+    few, rest = (held.select("key", *[F.col(c).alias(a) for c, a in zip(("node", "comp", "n", "m", "one", "two"), (s, f"c{s}", f"n{s}", f"m{s}", f"{s}1", f"{s}2"), strict=True)], "top") for s in "xy")
     enough = F.least("mx", "my") * (1 + similarity) >= (F.col("nx") + F.col("ny")) * similarity - 1e-6
-    apart = few.join(rest, "key").where((F.col("cx") != F.col("cy")) & enough & (_tally("px", "py") >= LEAST))
+    close = (F.col("cx") != F.col("cy")) & enough & _sizes_fit("nx", "ny", similarity) & (_off("x", "y") <= MOST_OFF)
+    apart = few.where("cx <> top").drop("top").join(rest.drop("top"), "key").where(close)
     untried = apart.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    late = _verified(stored(untried, "similar-untried"), sets, similarity)
+    late = _verified(stored(_tallied(untried, nodes), "similar-untried"), sets, similarity)
     of = known.select("node", "comp")
     over = late.join(of.toDF("u", "cu"), "u").join(of.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     last = connected_components(over, "similar-last").withColumnRenamed("node", "comp")

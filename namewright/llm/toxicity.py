@@ -3,30 +3,35 @@
 A word written in leetspeak, spaced out or with letters repeated is taken as noise over a word:
 each character may be one of a few letters, nothing (a separator, a repetition, a mark), at a cost;
 Viterbi decoding of this lattice under a character trigram model gives the likeliest word.  The
-restored text is scored by a logistic regression on words and word beginnings.
+restored text is scored by a logistic regression on words and word beginnings, which is fitted on
+texts restored in the same way.
 
 The character model counts every document.  The classifier learns from a bounded sample of labelled
-training rows (`PER_CLASS` of each class, those of the least id hash), copies of a text once.
+training rows (`PER_CLASS` of each class, those of the least id hash), copies of a text once; its
+features are those whose smoothed log odds are `LEAST_Z` standard errors or more from zero to either
+side, so their number is bounded by the sample too.
 """
 
 from __future__ import annotations
 
-import functools
+import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namewright.llm.common import utf8
+from namewright.llm.common import fresh, stored, utf8
 
 FOLDS = 5
 HELD_OUT = 0
 PER_CLASS = 8000
-MOST_FEATURES = 2000
+LEAST_Z = 2.0
+#: Tokens that a process remembers the features of, and spans it remembers the decoding of.
+REMEMBERED = 60_000
 PREFIXES = (4, 5, 6)
 #: What a character may stand for in leetspeak.
 LEET = {
@@ -41,6 +46,15 @@ DOUBLED = re.compile(r"([^\W\d_])\1")
 SUSPECT = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[0-9@$|+*€£!._\-]\S*[^\W\d_]|\S*[0-9@$!]|\S*[аеорсхі]|\S*([^\W\d_])\1\1)\S+")
 
 
+def remembered(held: dict, key: str, make: Callable[[str], object]) -> object:
+    """make(key), kept in a dictionary of at most REMEMBERED keys."""
+    if key not in held:
+        if len(held) >= REMEMBERED:
+            held.clear()
+        held[key] = make(key)
+    return held[key]
+
+
 def char_code(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else SIZE - 1 if c.isalpha() else 0
 
@@ -85,14 +99,14 @@ class Restorer:
                     own[(a * SIZE + b) * SIZE + c] += weight
             corpus = 0.5 * corpus + 0.5 * self._smooth(own)
         self.logp = np.log(corpus).tolist()
-        self.word = functools.lru_cache(200_000)(self._decode)
+        self.held: dict[str, str] = {}
 
-    def __getstate__(self) -> list[float]:
-        return self.logp
+    def __getstate__(self) -> bytes:
+        return np.array(self.logp).tobytes()
 
-    def __setstate__(self, logp: list[float]) -> None:
-        self.logp = logp
-        self.word = functools.lru_cache(200_000)(self._decode)
+    def __setstate__(self, logp: bytes) -> None:
+        self.logp = np.frombuffer(logp).tolist()
+        self.held = {}
 
     @staticmethod
     def _smooth(counts: np.ndarray) -> np.ndarray:
@@ -141,7 +155,7 @@ class Restorer:
         return "".join(reversed(letters))
 
     def decode(self, span: str) -> str:
-        return self.word(span) if len(span) <= 64 else self._decode(span)
+        return remembered(self.held, span, self._decode) if len(span) <= 64 else self._decode(span)
 
     def token(self, token: str) -> str:
         core = token.strip(EDGE)
@@ -176,22 +190,28 @@ class Model:
     """Weights of words and word beginnings, and the restorer of noisy words."""
 
     def __init__(self, weights: dict[str, float], bias: float, restorer: Restorer) -> None:
-        self.__setstate__((weights, bias, restorer))
+        self.weights, self.bias, self.restorer = weights, bias, restorer
+        self.held: dict[str, tuple[str, ...]] = {}
+        self.name = hashlib.sha256(repr((sorted(weights.items()), bias, restorer.logp)).encode()).hexdigest()
 
-    def __getstate__(self) -> tuple[dict[str, float], float, Restorer]:
-        return self.weights, self.bias, self.restorer
+    def __getstate__(self) -> tuple:
+        return self.name, self.weights, self.bias, self.restorer
 
-    def __setstate__(self, state: tuple[dict[str, float], float, Restorer]) -> None:
-        self.weights, self.bias, self.restorer = state
-        self.known = functools.lru_cache(300_000)(self._known)
+    def __setstate__(self, state: tuple) -> None:
+        self.name, self.weights, self.bias, self.restorer = state
+        # What a reused worker has learnt of this very model; of any other it is forgotten.
+        if _REMEMBERED.get("name") != self.name:
+            _REMEMBERED.clear()
+            _REMEMBERED.update(name=self.name, tokens={}, spans={})
+        self.held, self.restorer.held = _REMEMBERED["tokens"], _REMEMBERED["spans"]
 
     def _known(self, token: str) -> tuple[str, ...]:
-        """Features of a token as written and as restored."""
-        words = {token.strip(EDGE)}
-        if SUSPECT.fullmatch(token):
-            words |= _words(self.restorer.token(token))
-        words |= {self.restorer.decode(w) for w in words if self._repeats(w)}
-        return tuple(sorted({f for w in words if w for f in features(w) if f in self.weights}))
+        """Features of a token as restored that have a weight."""
+        return tuple(sorted({f for w in self._restored(token) for f in features(w) if f in self.weights}))
+
+    def _restored(self, token: str) -> set[str]:
+        words = _words(self.restorer.token(token)) if SUSPECT.fullmatch(token) else {token.strip(EDGE)} - {""}
+        return words | {self.restorer.decode(w) for w in words if self._repeats(w)}
 
     def _repeats(self, word: str) -> bool:
         """A word without a weight whose doubled letters may be repetitions; of letters alone, only if
@@ -206,29 +226,43 @@ class Model:
             ways = kept | ways if i and word[i - 1] == c else kept
         return any(f in self.weights for w in ways for f in features(w))
 
-    def score(self, text: str) -> float:
-        """Of the text with noisy and spaced-out words restored."""
+    def words(self, text: str) -> set[str]:
+        """The words of the text with noisy and spaced-out words restored."""
+        return {w for token in self._tokens(text) for w in self._restored(token)}
+
+    def found(self, text: str) -> set[str]:
+        """The features with a weight of the text as restored."""
+        out: set[str] = set()
+        for t in self._tokens(text):
+            if own := remembered(self.held, t, self._known) if len(t) <= 64 else self._known(t):
+                out.update(own)
+        return out
+
+    def _tokens(self, text: str) -> set[str]:
+        """Different tokens of the text in lower case, and its spaced-out words put together."""
         low = text.lower()
         tokens = set(low.split())
-        found: set[str] = set()
-        single = 0
-        for t in tokens:
-            if own := self.known(t) if len(t) <= 64 else self._known(t):
-                found.update(own)
-            single += len(t) <= 3 and len(t.strip(EDGE)) == 1
-        if single > 1:
-            for m in SPACED.finditer(low):
-                found.update(self._known(self.restorer.decode(m[0])))
-        z = self.bias + sum(self.weights[f] for f in sorted(found))
+        if sum(len(t) <= 3 and len(t.strip(EDGE)) == 1 for t in tokens) > 1:
+            tokens |= {self.restorer.decode(m[0]) for m in SPACED.finditer(low)}
+        return tokens
+
+    def score(self, text: str) -> float:
+        z = self.bias + sum(self.weights[f] for f in sorted(self.found(text)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+_REMEMBERED: dict = {}
+
+
 def fold(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(text, y) of at most per_class rows of each class outside the held-out fold."""
+    """(text, y) of at most per_class rows of each class outside the held-out fold.
+
+    Labels without an id or a class are left out, of several for an id the largest counts; null texts
+    are empty; equal texts are one row, toxic if any of them is; empty tables give none."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     known = known.where(fold(F.col("doc_id")) != HELD_OUT)
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
@@ -237,57 +271,83 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     return rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit the classifier on the sample and the character model on all docs."""
-    sample = training_sample(docs, labels, per_class)
+def _counted(sample: DataFrame, words: Callable[[str], set[str]], sizes: tuple[int, int]) -> DataFrame:
+    """(f, clean, toxic, z): in how many rows of each class a feature stands, and how many standard
+    errors its smoothed log odds are from zero."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             held = [Counter(), Counter()]
             for text, y in zip(pdf["text"], pdf["y"], strict=True):
-                held[int(y)].update({f for w in _words(text.lower()) for f in features(w)})
+                held[int(y)].update({f for w in words(text) for f in features(w)})
             names = list(held[0].keys() | held[1].keys())
             yield pd.DataFrame({"f": names, "clean": [held[0][f] for f in names], "toxic": [held[1][f] for f in names]})
 
     counts = sample.mapInPandas(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    clean, toxic = F.col("clean") + 0.5, F.col("toxic") + 0.5
+    return counts.withColumn("z", (F.log(toxic / (sizes[1] + 1.0)) - F.log(clean / (sizes[0] + 1.0))) / F.sqrt(1 / toxic + 1 / clean))
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """Fit the classifier on the sample and the character model on all docs.
+
+    Words that tell toxic rows as written go into the character model; then the sample is restored,
+    features are chosen and weights fitted on it.  Null texts are empty; without labelled rows of
+    both classes nothing has a weight and the bias is the log odds of what labels there are."""
+    sample = stored(training_sample(docs, labels, per_class), "toxicity-sample")
     totals = {int(r.y): r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = totals.get(0, 0) + 1, totals.get(1, 0) + 1
-    lift = F.log((F.col("toxic") + 0.5) / n1) - F.log((F.col("clean") + 0.5) / n0)
-    best = counts.where("toxic >= 5").withColumn("lift", lift).where("lift > 1.5")
-    best = best.orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "f").limit(MOST_FEATURES).collect()
-    names = [r.f for r in best]
+    sizes = totals.get(0, 0), totals.get(1, 0)
+    told = _counted(sample, lambda t: _words(t.lower()), sizes).where((F.col("z") >= LEAST_Z) & (F.col("clean") * 20 < F.col("toxic")) & ~F.col("f").endswith("~"))
+    lexicon = {r.f: float(r.toxic) for r in told.select("f", "toxic").collect()}  # bounded by the sample
+    restorer = Restorer(trigram_counts(docs), lexicon)
+    first = Model({f: 0.0 for w in lexicon for f in features(w)}, 0.0, restorer)
+    names = sorted(r.f for r in _counted(sample, first.words, sizes).where(F.abs("z") >= LEAST_Z).select("f").collect())
     place = {f: i for i, f in enumerate(names)}
+    blank = Model(dict.fromkeys(names, 0.0), 0.0, restorer)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [sorted({place[f] for w in _words(t.lower()) for f in features(w) if f in place}) for t in pdf["text"]]
-        return pd.DataFrame({"y": pdf["y"].astype("int64"), "at": found})
+        return pd.DataFrame({"y": pdf["y"].astype("int64"), "at": [sorted(place[f] for f in blank.found(t)) for t in pdf["text"]]})
 
     rows = sample.mapInPandas(lambda it: map(match, it), "y long, at array<int>").collect()  # 2 * per_class at most
     weights, bias = _fit([list(r["at"]) for r in rows], np.array([r.y for r in rows], float), len(names))
-    lexicon = {r.f: float(r.toxic) for r in best if not r.f.endswith("~") and r.clean * 20 < r.toxic}
-    return Model(dict(zip(names, weights.tolist(), strict=True)), bias, Restorer(trigram_counts(docs), lexicon))
+    return Model(dict(zip(names, weights.tolist(), strict=True)), bias, restorer)
 
 
-def _fit(rows: list[list[int]], y: np.ndarray, n: int, ridge: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on binary features by accelerated gradient descent; classes weigh alike."""
+def _fit(rows: list[list[int]], y: np.ndarray, n: int, ridge: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression on binary features by accelerated gradient descent; classes weigh alike, and
+    the bias is drawn towards the log odds of the classes, which decide where no feature speaks."""
+    odds = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else float(np.log(0.1 / 0.9))
     if not len(y) or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.1
-        return np.zeros(n), float(np.log(rate / (1 - rate)))
+        return np.zeros(n), odds
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at = np.array([i for r in rows for i in r], np.int64)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w = np.zeros(n + 1)
-    ahead, rate = w.copy(), 2.0
+    v, top = np.ones(n + 1), 1.0
+    for _ in range(20):  # the largest curvature, which bounds the step
+        seen = weight * (np.bincount(row, weights=v[at], minlength=len(y)) + v[n])
+        v = np.r_[np.bincount(at, weights=seen[row], minlength=n), seen.sum()]
+        top = float(np.linalg.norm(v))
+        v /= top
+    ahead, rate = w.copy(), min(2.0, 1 / (0.25 * top + ridge))
+    centre = np.r_[np.zeros(n), odds]
     for step in range(steps):
         z = np.bincount(row, weights=ahead[at], minlength=len(y)) + ahead[n]
         left = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        slope = np.r_[np.bincount(at, weights=left[row], minlength=n), left.sum()] + ridge * np.r_[ahead[:n], 0]
+        slope = np.r_[np.bincount(at, weights=left[row], minlength=n), left.sum()] + ridge * (ahead - centre)
         new = ahead - rate * slope
         ahead = new + step / (step + 3) * (new - w)
         w = new
     return w[:n], float(w[n])
 
 
+def _rated(model: Model) -> Callable[[Column], Column]:
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score("" if t is None else t) for t in texts], dtype="float64")
+
+    return F.pandas_udf(run, "double")
+
+
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from 0.5 on) appended.
 
@@ -295,14 +355,15 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     named score or predicted are replaced.
     """
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score("" if t is None else t) for t in texts], dtype="float64")
-
-    rate = F.pandas_udf(run, "double")
-    scored = docs.withColumn("score", rate(F.col(text_col).cast("string")))
+    scored = docs.withColumn("score", _rated(model)(F.col(text_col).cast("string")))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows predicted toxic; columns as they were."""
-    return score_documents(docs, learn(docs, labels)).where("predicted = 0").select(docs.columns)
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows predicted toxic; columns as they were, whatever their names.
+
+    Null texts are judged as empty ones; repeated rows go or stay together; ids don't matter; an
+    empty table gives an empty one."""
+    model = learn(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
+    told = fresh("toxic")
+    return docs.withColumn(told, _rated(model)(F.col(text_col).cast("string"))).where(F.col(told) < 0.5).select(docs.columns)

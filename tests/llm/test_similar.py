@@ -83,3 +83,27 @@ def test_one_row_of_each_group(spark):
     assert (5, a, "en", "s1", 1) in got and (7, c, "en", "s1", 1) in got
     assert sum(r[0] is None for r in got) == 1 and sum(r[0] == 7 for r in got) == 2
     assert all(r in rows for r in got)
+
+
+def test_any_ids_and_clashing_columns(spark):
+    """Ids may be strings, and no column of the caller is lost or taken for one of ours."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", base, 1, "x"), ("a", base + " tail", 2, None), (None, base, 3, "y"), ("c", "other words", 4, "z"), ("c", "other words", 4, "z"), (None, None, 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, node int, _id string").withColumnRenamed("_id", "key")
+    assert key(map(tuple, similar.similar_documents(docs).collect())) == key([("b", "a"), ("a", "a"), (None, "a"), ("c", "c"), ("c", "c"), (None, None)])
+    assert key(map(tuple, similar.one_of_each(docs.withColumnRenamed("key", "_id")).collect())) == key([rows[1], rows[3], rows[5]])
+
+
+def test_tally_and_sketch_keep_pairs_at_the_threshold():
+    """Pairs of texts at 0.8 share far more positional bytes, and differ in fewer sketch bits, than asked for."""
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(60):
+        both = [f"w{rng.random()}" for _ in range(rng.choice([100, 400, 1000]))]
+        size = len(both) - 4
+        more = int(size / 0.8 - size) // 2  # further shingles on either side
+        a, b = (" ".join(both + [f"{s}{i}" for i in range(more)]) for s in "xy")
+        (_, _, pa, _, sa), (_, _, pb, _, sb) = (similar.index_row(t.encode()) for t in (a, b))
+        assert (pa == pb).sum() >= similar.LEAST
+        assert np.bitwise_count(sa ^ sb).sum() <= similar.MOST_OFF

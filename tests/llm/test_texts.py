@@ -4,6 +4,7 @@ import hashlib
 import io
 import struct
 import zipfile
+import zlib
 from collections import defaultdict
 
 import pytest
@@ -266,6 +267,32 @@ def test_doubled_letters_and_letters_far_apart_reach_the_decoder():
         assert model.score(f"the {clean} there") < 0.5, clean
 
 
+def test_few_labels_give_a_sensible_classifier(spark):
+    """The smallest table: not all texts are toxic, and held-out rows do better than the majority."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    rows = toxicity.score_documents(docs, model).select("doc_id", "score", "predicted").collect()
+    assert len({r.score for r in rows}) > 5 and 0 < sum(r.predicted for r in rows) < 40
+    told = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [(r.predicted, told[r.doc_id]) for r in rows if r.doc_id in told and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    right, most = sum(a == b for a, b in held), max(sum(y for _, y in held), sum(not y for _, y in held))
+    assert right > most
+    # One class alone, or no label at all: nothing is toxic on no evidence.
+    for none in (labels.where("toxic = 0"), labels.limit(0)):
+        got = toxicity.score_documents(docs, toxicity.learn(docs, none)).collect()
+        assert len({r.score for r in got}) == 1 and not any(r.predicted for r in got)
+
+
+def test_rejecting_keeps_the_callers_columns(spark, awkward):
+    labels = spark.createDataFrame([(1, 0), (4, 1), (None, 1), (5, None), (9, 0), (9, 1)], "doc_id long, toxic int")
+    docs = awkward.withColumnsRenamed({"lang": "score", "source": "predicted", "id": "y"})
+    for d in (docs, docs.limit(0)):
+        left = toxicity.reject_toxic(d, labels)
+        assert left.columns == d.columns
+        assert not {tuple(r) for r in left.collect()} - {tuple(r) for r in d.collect()}
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
