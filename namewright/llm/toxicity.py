@@ -30,8 +30,10 @@ FOLDS = 5
 HELD_OUT = 0
 PER_CLASS = 8000
 LEAST_Z = 2.0
+#: Features that the fit gives less weight than this go, and the rest are fitted again.
+LEAST_WEIGHT = 0.05
 #: Tokens that a process remembers the features of, and spans it remembers the decoding of.
-REMEMBERED = 60_000
+REMEMBERED = 100_000
 PREFIXES = (4, 5, 6)
 #: What a character may stand for in leetspeak.
 LEET = {
@@ -43,6 +45,8 @@ SIZE = 28  # boundary, a-z, any other letter
 EDGE = ".,;:!?\"'()[]{}<>%&#*~`^=/\\…-_|$+"
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:(?:\s+|[ .\-_*~]{1,2})(?:[^\W_]|[@$!|+])(?![^\W_])){2,}")
 DOUBLED = re.compile(r"([^\W\d_])\1")
+TRIPLED = re.compile(r"([^\W\d_])\1\1")
+REPEATED = re.compile(r"([^\W\d_])\1+")
 SUSPECT = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[0-9@$|+*€£!._\-]\S*[^\W\d_]|\S*[0-9@$!]|\S*[аеорсхі]|\S*([^\W\d_])\1\1)\S+")
 
 
@@ -186,12 +190,19 @@ def _words(text: str) -> set[str]:
     return {w.strip(EDGE) for w in set(text.split())} - {""}
 
 
+def _plain(token: str, core: str) -> bool:
+    """Nothing in the token can be noise: letters alone, none twice in a row, none that stands for another."""
+    return core.isalpha() and not DOUBLED.search(core) and (core.isascii() or LEET.keys().isdisjoint(core)) and token[0] not in "@$" and token[-1] not in "@$"
+
+
 class Model:
     """Weights of words and word beginnings, and the restorer of noisy words."""
 
     def __init__(self, weights: dict[str, float], bias: float, restorer: Restorer) -> None:
         self.weights, self.bias, self.restorer = weights, bias, restorer
+        self._index()
         self.held: dict[str, tuple[str, ...]] = {}
+        self.nothing: set[str] = set()
         self.name = hashlib.sha256(repr((sorted(weights.items()), bias, restorer.logp)).encode()).hexdigest()
 
     def __getstate__(self) -> tuple:
@@ -199,28 +210,44 @@ class Model:
 
     def __setstate__(self, state: tuple) -> None:
         self.name, self.weights, self.bias, self.restorer = state
+        self._index()
         # What a reused worker has learnt of this very model; of any other it is forgotten.
         if _REMEMBERED.get("name") != self.name:
             _REMEMBERED.clear()
-            _REMEMBERED.update(name=self.name, tokens={}, spans={})
-        self.held, self.restorer.held = _REMEMBERED["tokens"], _REMEMBERED["spans"]
+            _REMEMBERED.update(name=self.name, tokens={}, nothing=set(), spans={})
+        self.held, self.nothing, self.restorer.held = (_REMEMBERED[k] for k in ("tokens", "nothing", "spans"))
+
+    def _index(self) -> None:
+        """Beginnings of features, and features without repetitions: most words have none of them."""
+        self.heads = {f[: PREFIXES[0]] for f in self.weights}
+        self.bare = {REPEATED.sub(r"\1", f) for f in self.weights}
 
     def _known(self, token: str) -> tuple[str, ...]:
         """Features of a token as restored that have a weight."""
+        core = token.strip(EDGE)
+        if _plain(token, core):
+            return tuple([f for f in features(core) if f in self.weights]) if core[: PREFIXES[0]] in self.heads else ()
         return tuple(sorted({f for w in self._restored(token) for f in features(w) if f in self.weights}))
 
     def _restored(self, token: str) -> set[str]:
-        words = _words(self.restorer.token(token)) if SUSPECT.fullmatch(token) else {token.strip(EDGE)} - {""}
+        core = token.strip(EDGE)
+        if _plain(token, core) or core.isalpha() and core.isascii() and token[0] not in "@$" and token[-1] not in "@$" and not TRIPLED.search(core) and not self._repeats(core):
+            return {core}
+        words = _words(self.restorer.token(token)) if SUSPECT.fullmatch(token) else {core} - {""}
         return words | {self.restorer.decode(w) for w in words if self._repeats(w)}
 
     def _repeats(self, word: str) -> bool:
         """A word without a weight whose doubled letters may be repetitions; of letters alone, only if
         some way of dropping them gives a feature, as no other decoding of it does."""
-        if word in self.weights or not DOUBLED.search(word):
+        if not DOUBLED.search(word) or word in self.weights:
             return False
-        ways = {""}
         if not word.isalpha() or not LEET.keys().isdisjoint(word) or len(DOUBLED.findall(word)) > 8:
             return True
+        # All ways have the same letters once repetitions are gone, and so have their features.
+        bare = REPEATED.sub(r"\1", word)
+        if bare not in self.bare and self.bare.isdisjoint(bare[:n] + "~" for n in range(1, PREFIXES[-1] + 1)):
+            return False
+        ways = {""}
         for i, c in enumerate(word):
             kept = {w + c for w in ways}
             ways = kept | ways if i and word[i - 1] == c else kept
@@ -233,16 +260,32 @@ class Model:
     def found(self, text: str) -> set[str]:
         """The features with a weight of the text as restored."""
         out: set[str] = set()
-        for t in self._tokens(text):
-            if own := remembered(self.held, t, self._known) if len(t) <= 64 else self._known(t):
-                out.update(own)
+        held, nothing, weights, n = self.held, self.nothing, self.weights, PREFIXES[0]
+        for t in self._tokens(text) - nothing:
+            own = held.get(t)
+            if own is None:
+                core = t.strip(EDGE)
+                if _plain(t, core):
+                    own = [f for f in (core, *[core[:k] + "~" for k in PREFIXES if len(core) > k]) if f in weights] if core[:n] in self.heads else ()
+                else:
+                    own = self._known(t)
+                if len(t) <= 64:
+                    if not own:
+                        nothing.add(t)
+                        continue
+                    if len(held) >= REMEMBERED:
+                        held.clear()
+                    held[t] = own
+            out.update(own)
+        if len(nothing) >= 2 * REMEMBERED:
+            nothing.clear()
         return out
 
     def _tokens(self, text: str) -> set[str]:
         """Different tokens of the text in lower case, and its spaced-out words put together."""
         low = text.lower()
         tokens = set(low.split())
-        if sum(len(t) <= 3 and len(t.strip(EDGE)) == 1 for t in tokens) > 1:
+        if sum(1 for t in tokens if len(t) <= 3 and len(t.strip(EDGE)) == 1) > 1:
             tokens |= {self.restorer.decode(m[0]) for m in SPACED.finditer(low)}
         return tokens
 
@@ -309,8 +352,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         return pd.DataFrame({"y": pdf["y"].astype("int64"), "at": [sorted(place[f] for f in blank.found(t)) for t in pdf["text"]]})
 
     rows = sample.mapInPandas(lambda it: map(match, it), "y long, at array<int>").collect()  # 2 * per_class at most
-    weights, bias = _fit([list(r["at"]) for r in rows], np.array([r.y for r in rows], float), len(names))
-    return Model(dict(zip(names, weights.tolist(), strict=True)), bias, restorer)
+    at, y = [list(r["at"]) for r in rows], np.array([r.y for r in rows], float)
+    keep = np.flatnonzero(np.abs(_fit(at, y, len(names))[0]) >= LEAST_WEIGHT)
+    new = {int(i): k for k, i in enumerate(keep)}
+    weights, bias = _fit([[new[i] for i in r if i in new] for r in at], y, len(keep))
+    return Model({names[i]: w for i, w in zip(keep, weights.tolist(), strict=True)}, bias, restorer)
 
 
 def _fit(rows: list[list[int]], y: np.ndarray, n: int, ridge: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, float]:
