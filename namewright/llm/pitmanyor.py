@@ -12,7 +12,9 @@ totals, which are summed after each epoch: each shard sends its part for every c
 asked for to the owner of a range of contexts, and gets the sums of just those back (see `_shared`), so
 no one place holds all contexts.  Draws have fixed seeds, so a shard that is lost, or the next epoch,
 repeats earlier sweeps exactly and no seating is stored.
-Predictive probabilities are averaged over the last sweeps.
+After the last epoch each shard sweeps `SAMPLES` times more, the totals of every one of these seatings
+are summed in one more exchange, and predictive probabilities are averaged over them: each is taken
+with the totals of its own seating, so over all words (and the class of others) they sum to one.
 
 Texts never move.  Each block of texts asks the shards for its distinct (word, context) pairs with
 their training counts; the same table makes the counts and, after sampling, carries the answers back.
@@ -445,30 +447,31 @@ class Shard:
             self.sweep(totals)
 
 
-def _answers(shard: Shard, keys: np.ndarray, history: list[Totals], requests: pd.DataFrame) -> Iterator[tuple]:
-    """For each request the log10 of the averaged probability of its pairs, and its words' counts."""
+def _answers(shard: Shard, keys: np.ndarray, history: list[Totals], samples: list[Totals], requests: pd.DataFrame) -> Iterator[tuple]:
+    """For each request the log10 of the averaged probability of its pairs, and its words' counts.
+
+    history: the totals that each epoch started from; samples: those of each sampled seating."""
     p = shard.prior
     shard.replay(history[:-1])
-    last = history[-1]
-    samples = []
-    for _ in range(SAMPLES):
-        shard.sweep(last)
-        samples.append((shard.tables, shard.seats, shard.root))
+    seatings = []
+    for own in samples:
+        shard.sweep(history[-1])
+        unseen = (STRENGTH + p.d0 * own.root_tables) * p.base / (STRENGTH + own.root_customers)
+        seatings.append((np.maximum(shard.count - p.d1 * shard.tables, 0), shard.parent(own, shard.seats, shard.root), unseen, STRENGTH + p.d1 * own.tables))
     by = stride(len(keys))
     codes = shard.word * by + shard.context
     total = np.bincount(shard.word, weights=shard.count, minlength=len(shard.words)).astype(np.int64)
-    tables = np.mean([s[0] for s in samples], axis=0) if len(codes) else np.zeros(0)
-    up = np.mean([shard.parent(last, s[1], s[2]) for s in samples], axis=0) if len(shard.words) else np.zeros(0)
-    unseen = (STRENGTH + p.d0 * last.root_tables) * p.base / (STRENGTH + last.root_customers)
+    under = STRENGTH + history[0].customers
     for b, words, degree, context, names in zip(requests["b"], requests["words"], requests["degree"], requests["context"], requests["keys"], strict=True):
         words = unpacked_keys(words)
         at, there = _find(shard.words, words)
         own = np.repeat(np.arange(len(words)), widened(degree, len(words)))
         ctx = np.searchsorted(keys, unpacked_keys(names))[widened(context, len(own))]
-        parent = np.where(there, up[at] if len(up) else 0.0, unseen)[own]
         place, seen = _find(codes, np.where(there, at, -1)[own] * by + ctx)
-        held = np.where(seen, np.maximum(shard.count[place] - p.d1 * tables[place], 0) if len(codes) else 0.0, 0.0)
-        value = (held + (STRENGTH + p.d1 * last.tables[ctx]) * parent) / (STRENGTH + last.customers[ctx])
+        value = np.zeros(len(own))
+        for held, parent, unseen, top in seatings:
+            value += np.where(seen, held[place] if len(held) else 0.0, 0.0) + top[ctx] * np.where(there, parent[at] if len(parent) else 0.0, unseen)[own]
+        value /= len(seatings) * under[ctx]
         yield b, shard.r, packed(np.log10(value).astype(np.float32)), packed(np.where(there, total[at] if len(total) else 0, 0).astype(np.uint64))
 
 
@@ -482,41 +485,37 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 # --- training and scoring ------------------------------------------------------------------------
 
 
-FIGURES = ["one", "two", "alone", "paired", "words", "tokens", "root_tables", "root_customers"]
-SENT = "k int, r int, keys binary, x binary, y binary"
-TOLD = "r int, k int, size long, x binary, y binary"
+FIGURES = ["one", "two", "alone", "paired", "words", "tokens", *(f"root_{x}{i}" for x in ("tables", "customers") for i in range(SAMPLES))]
+SENT = "k int, r int, keys binary, sums int, x binary"
+TOLD = "r int, k int, size long, sums int, x binary"
 
 
-def _messages(r: int, keys: np.ndarray, x: np.ndarray | None, y: np.ndarray, shards: int, figures: dict[str, float]) -> pd.DataFrame:
-    """A shard's parts of the customers x (sent once) and tables y of its contexts to the owners k of
-    ranges of contexts, and its figures to owner -1."""
+def _messages(r: int, keys: np.ndarray, x: list[np.ndarray], shards: int, figures: dict[str, float]) -> pd.DataFrame:
+    """A shard's parts of sums over its contexts to the owners k of ranges of contexts, and its
+    figures to owner -1."""
     edge = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 64) // shards))
     edge = [0, *edge.tolist(), len(keys)]
-    rows = [(-1, r, b"", packed(np.array([figures.get(f, 0.0) for f in FIGURES])), b"")]
+    rows = [(-1, r, b"", 0, packed(np.array([figures.get(f, 0.0) for f in FIGURES])))]
     for k in range(shards):
         at = slice(edge[k], edge[k + 1])
         if at.start < at.stop:
-            rows.append((k, r, packed_keys(keys[at]), b"" if x is None else narrow(x[at]), narrow(y[at])))
-    return pd.DataFrame(rows, columns=["k", "r", "keys", "x", "y"])
+            rows.append((k, r, packed_keys(keys[at]), len(x), narrow(np.concatenate([v[at] for v in x]))))
+    return pd.DataFrame(rows, columns=["k", "r", "keys", "sums", "x"])
 
 
 def _owner(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sums over shards, told to each in the order it sent its contexts."""
     k = pdf["k"].iloc[0]
     if k < 0:
-        return pd.DataFrame([(-1, -1, 0, packed(np.sum([unpacked(x, float) for x in pdf["x"]], axis=0)), b"")], columns=["r", "k", "size", "x", "y"])
+        return pd.DataFrame([(-1, -1, 0, 0, packed(np.sum([unpacked(x, float) for x in pdf["x"]], axis=0)))], columns=["r", "k", "size", "sums", "x"])
     keys = [unpacked_keys(x) for x in pdf["keys"]]
     sizes = [len(x) for x in keys]
     place = np.unique(np.concatenate(keys), return_inverse=True)[1]
-    told = {"r": pdf["r"], "k": k, "size": sizes}
-    for c in "xy":
-        if not all(pdf[c]):
-            told[c] = b""
-            continue
-        parts = np.concatenate([widened(x, n) for x, n in zip(pdf[c], sizes, strict=True)])
-        sums = np.bincount(place, weights=parts)[place].astype(np.int64)
-        told[c] = [narrow(x) for x in np.split(sums, np.cumsum(sizes)[:-1])]
-    return pd.DataFrame(told)[["r", "k", "size", "x", "y"]]
+    sums = int(pdf["sums"].iloc[0])
+    parts = np.concatenate([widened(x, sums * n).reshape(sums, n) for x, n in zip(pdf["x"], sizes, strict=True)], axis=1)
+    whole = np.stack([np.bincount(place, weights=v)[place].astype(np.int64) for v in parts])
+    told = [narrow(x.reshape(-1)) for x in np.split(whole, np.cumsum(sizes)[:-1], axis=1)]
+    return pd.DataFrame({"r": pdf["r"], "k": k, "size": sizes, "sums": sums, "x": told})
 
 
 def _shared(sent: DataFrame, shards: int) -> tuple[str, dict[str, float]]:
@@ -531,22 +530,28 @@ def _shared(sent: DataFrame, shards: int) -> tuple[str, dict[str, float]]:
 
 @dataclass
 class Epoch:
-    """Where the totals that sweeps started from are, and those of the root."""
+    """Where the sums that an exchange told are, and customers and tables of the root for each seating."""
 
     path: str
-    root_customers: float
-    root_tables: float
+    root: list[tuple[float, float]]
+
+
+def _sums(row, epoch: Epoch) -> np.ndarray:
+    """What a shard was told: a row of sums over its contexts for each that it sent."""
+    store, root = fs.FileSystem.from_uri(epoch.path)
+    got = pq.read_table(f"{root}/r={row.r}", filesystem=store, partitioning=None).sort_by("k").to_pydict()
+    return np.concatenate([widened(x, n * m).reshape(m, n) for x, n, m in zip(got["x"], got["size"], got["sums"], strict=True)], axis=1).astype(float)
 
 
 def _totals(row, history: list[Epoch]) -> list[Totals]:
-    """A shard's totals at the start of each epoch."""
-    out: list[Totals] = []
-    for e in history:
-        store, root = fs.FileSystem.from_uri(e.path)
-        got = pq.read_table(f"{root}/r={row.r}", filesystem=store, partitioning=None).sort_by("k").to_pydict()
-        read = lambda c, got=got: np.concatenate([widened(x, n) for x, n in zip(got[c], got["size"], strict=True)]).astype(float)
-        out.append(Totals(out[0].customers if out else read("x"), read("y"), e.root_customers, e.root_tables))
-    return out
+    """A shard's totals at the start of each epoch: the first exchange tells customers and tables."""
+    first = _sums(row, history[0])
+    return [Totals(first[0], _sums(row, e)[0] if i else first[1], *e.root[0]) for i, e in enumerate(history)]
+
+
+def _sampled(row, customers: np.ndarray, samples: Epoch) -> list[Totals]:
+    """A shard's totals of each sampled seating."""
+    return [Totals(customers, tables, *root) for tables, root in zip(_sums(row, samples), samples.root, strict=True)]
 
 
 def _held(path: str, r: int) -> pd.DataFrame | None:
@@ -557,9 +562,9 @@ def _held(path: str, r: int) -> pd.DataFrame | None:
     return pq.read_table(f"{root}/r={r}", filesystem=store, partitioning=None).to_pandas().assign(r=r)
 
 
-def train(counts: DataFrame, shards: int) -> tuple[Prior, list[Epoch]]:
-    """counts: a row for each shard (r, words, degree, context, n, keys) -> the prior, and the totals
-    that each epoch of sweeps started from."""
+def train(counts: DataFrame, shards: int) -> tuple[Prior, list[Epoch], Epoch]:
+    """counts: a row for each shard (r, words, degree, context, n, keys) -> the prior, the totals that
+    each epoch of sweeps started from, and those of the sampled seatings."""
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -568,30 +573,37 @@ def train(counts: DataFrame, shards: int) -> tuple[Prior, list[Epoch]]:
                 ctx = widened(row.context, int(degree.sum()))
                 c = widened(row.n, len(ctx))
                 x, y = np.bincount(ctx, weights=c, minlength=len(keys)).astype(np.int64), np.bincount(ctx, minlength=len(keys))
-                seen = dict(one=(c == 1).sum(), two=(c == 2).sum(), alone=(degree == 1).sum(), paired=(degree == 2).sum(), words=len(degree), tokens=c.sum(), root_customers=len(c))
-                yield _messages(row.r, keys, x, y, shards, seen)
+                seen = dict(one=(c == 1).sum(), two=(c == 2).sum(), alone=(degree == 1).sum(), paired=(degree == 2).sum(), words=len(degree), tokens=c.sum(), root_customers0=len(c))
+                yield _messages(row.r, keys, [x, y], shards, seen)
 
     def discount(one: float, two: float) -> float:
         return min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
 
     path, f = _shared(counts.mapInPandas(tell, SENT), shards)
     prior = Prior(discount(f["one"], f["two"]), discount(f["alone"], f["paired"]), int(f["words"]), int(f["tokens"]))
-    history = [Epoch(path, f["root_customers"], f["words"])]
+    history = [Epoch(path, [(f["root_customers0"], f["words"])])]
 
-    for _ in range(EPOCHS):
+    def after(sweeps: int) -> Epoch:
+        """Replay the epochs so far but the last, sweep under its totals and share what comes out."""
 
-        def epoch(batches: Iterator[pd.DataFrame], history: list[Epoch] = history[:]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], history: list[Epoch] = history[:]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for row in pdf.itertuples():
-                    shard = Shard(row, prior)
-                    shard.replay(_totals(row, history))
-                    keys = unpacked_keys(row.keys)
-                    y = np.bincount(shard.context, weights=shard.tables, minlength=len(keys)).astype(np.int64)
-                    yield _messages(row.r, keys, None, y, shards, dict(root_tables=shard.root.sum(), root_customers=shard.seats.sum()))
+                    shard, totals, keys = Shard(row, prior), _totals(row, history), unpacked_keys(row.keys)
+                    shard.replay(totals[:-1])
+                    tables, told = [], {}
+                    for i in range(sweeps):
+                        shard.sweep(totals[-1])
+                        tables.append(np.bincount(shard.context, weights=shard.tables, minlength=len(keys)).astype(np.int64))
+                        told |= {f"root_tables{i}": shard.root.sum(), f"root_customers{i}": shard.seats.sum()}
+                    yield _messages(row.r, keys, tables, shards, told)
+
+        path, f = _shared(counts.mapInPandas(run, SENT), shards)
+        return Epoch(path, [(f[f"root_customers{i}"], f[f"root_tables{i}"]) for i in range(sweeps)])
 
-        path, f = _shared(counts.mapInPandas(epoch, SENT), shards)
-        history = [*history, Epoch(path, f["root_customers"], f["root_tables"])]
-    return prior, history
+    for _ in range(EPOCHS):
+        history.append(after(1))
+    return prior, history, after(SAMPLES)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -619,12 +631,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield _merge(mine)
 
     counts = stored(spark.range(0, shards, 1, shards).mapInPandas(merge, COUNTS), "lm-counts")
-    prior, history = train(counts, shards)
+    prior, history, samples = train(counts, shards)
+    _freed(spark)
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                found = _answers(Shard(row, prior), unpacked_keys(row.keys), _totals(row, history), _held(asked, row.r))
+                totals = _totals(row, history)
+                found = _answers(Shard(row, prior), unpacked_keys(row.keys), totals, _sampled(row, totals[0].customers, samples), _held(asked, row.r))
                 yield pd.DataFrame(found, columns=["b", "r", "logp", "count"])
 
     told = counts.mapInPandas(answer, "b string, r int, logp binary, count binary")

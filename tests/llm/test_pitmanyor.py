@@ -126,7 +126,7 @@ def test_totals_are_summed_over_shards(spark, documents):
     rows = [("s", str(r.doc_id), r.text) for r in documents.collect()]
     asked = pd.concat(M._requests(4)(iter([pd.DataFrame(rows, columns=["split", "id", "text"])])))
     merged = pd.concat([M._merge(g) for _, g in asked.groupby("r")])
-    _, history = M.train(spark.createDataFrame(list(merged.itertuples(index=False, name=None)), M.COUNTS), 4)
+    _, history, _ = M.train(spark.createDataFrame(list(merged.itertuples(index=False, name=None)), M.COUNTS), 4)
     after = {}
     for _, d, text in rows:
         if not held(d):
@@ -162,3 +162,66 @@ def test_numbers_of_tables_have_no_bound():
         seen = np.bincount(drawn, minlength=most + 1)[1 : most + 1].cumsum() / size
         assert np.abs(seen - weight.cumsum()).max() < 0.05
         assert (mean > 60) == (n != 5000)
+
+
+def trained(spark, rows):
+    """Requests, merged counts, prior and totals of (id, text) rows over four shards."""
+    split = pd.DataFrame([("s", str(d), t) for d, t in rows], columns=["split", "id", "text"])
+    asked = pd.concat(M._requests(4)(iter([split])))
+    merged = pd.concat([M._merge(g) for _, g in asked.groupby("r")])
+    return asked, merged, *M.train(spark.createDataFrame(list(merged.itertuples(index=False, name=None)), M.COUNTS), 4)
+
+
+def test_answers_sum_to_one_and_equal_a_plain_evaluation(spark, documents):
+    """Over all training words and one unknown, in contexts that are frequent, rare, unseen; and the score
+    of each text by the sampled seatings, token by token."""
+    rows = [(r.doc_id, r.text) for r in documents.collect()][:60]
+    training = [t for d, t in rows if not held(d)]
+    words = sorted({w.decode() for t in training for w in tokens(t) if w is not None})
+    contexts = ["the", words[3], words[-1], "neverseen"]
+    out = next(i for i in range(10_000, 20_000) if held(i))
+    everything = " ".join(f"{u} {w}" for u in contexts for w in [*words, "otherwise"]) + " " + " ".join(contexts)
+    rows += [(out, everything), *((i, u) for i, u in zip([i for i in range(30_000, 31_000) if held(i)], contexts, strict=False))]
+    asked, merged, prior, history, samples = trained(spark, rows)
+    p, seats = {}, [{} for _ in range(M.SAMPLES)]
+    for row in merged.itertuples():
+        totals, keys = M._totals(row, history), M.unpacked_keys(row.keys)
+        own = asked[asked["r"] == row.r]
+        for (_, _, logp, _), (_, q) in zip(M._answers(M.Shard(row, prior), keys, totals, M._sampled(row, totals[0].customers, samples), own), own.iterrows(), strict=True):
+            w = M.unpacked_keys(q["words"])
+            degree = M.widened(q["degree"], len(w))
+            ctx = M.unpacked_keys(q["keys"])[M.widened(q["context"], int(degree.sum()))]
+            p.update(zip(zip(np.repeat(w, degree).tolist(), ctx.tolist(), strict=True), 10.0 ** M.unpacked(logp, np.float32).astype(float), strict=True))
+        shard = M.Shard(row, prior)
+        shard.replay(totals[:-1])
+        for s in range(M.SAMPLES):
+            shard.sweep(totals[-1])
+            seats[s].update(((int(shard.words[i]), int(keys[j])), (int(c), int(t), int(shard.root[i]))) for i, j, c, t in zip(shard.word, shard.context, shard.count, shard.tables, strict=True))
+    of = lambda w: int(M.hash_words([w.encode()])[0])
+    for u in contexts:
+        total = sum(p[of(w), of(u)] for w in [*words, "otherwise"]) + p[int(M.END), of(u)]
+        assert abs(total - 1) < 1e-5, (u, total)  # answers are kept in single precision
+    # A plain evaluation of the same seatings, from dictionaries.
+    sums = []
+    for held_seats in seats:
+        customers, tables, up, root = Counter(), Counter(), Counter(), {}
+        for (w, u), (c, t, r) in held_seats.items():
+            customers[u] += c
+            tables[u] += t
+            up[w] += t
+            root[w] = r
+        sums.append((customers, tables, up, root, sum(up.values()), sum(root.values())))
+
+    def plain(w, u):
+        out = []
+        for held_seats, (customers, tables, up, root, n, r) in zip(seats, sums, strict=True):
+            top = (max(up[w] - prior.d0 * root.get(w, 0), 0) + (1 + prior.d0 * r) / (prior.vocabulary + 1)) / (1 + n)
+            c, t, _ = held_seats.get((w, u), (0, 0, 0))
+            out.append((c - prior.d1 * t + (1 + prior.d1 * tables[u]) * top) / (1 + customers[u]))
+        return sum(out) / len(out)
+
+    got = {r.doc_id: r.score for r in M.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    for d, t in rows[:20] + rows[-4:]:
+        hashes = [int(M.START), *M.tokens_of([M.utf8(t)])[0].tolist()]
+        want = sum(math.log10(plain(w, u)) for u, w in zip(hashes, hashes[1:], strict=False))
+        assert abs(got[d] - want) < 1e-4 * max(1, abs(want)), (d, got[d], want)
