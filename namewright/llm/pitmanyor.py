@@ -10,8 +10,8 @@ tables, and of the parent's probability.  Words are dealt to shards by hash, so
 tables of a word and its seating in the parent are in one place; shards share only the restaurants'
 totals, which are summed after each epoch: each shard sends its part for every context it holds or is
 asked for to the owner of a range of contexts, and gets the sums of just those back (see `_shared`), so
-no one place holds all contexts.  Draws have fixed seeds, so a shard that is lost, or the next epoch,
-repeats earlier sweeps exactly and no seating is stored.
+no one place holds all contexts.  A shard's seating after an epoch goes with the totals into the shared folder, packed, and the next epoch
+goes on from there; draws have fixed seeds, so a shard that is lost is sampled again alike.
 After the last epoch each shard sweeps `SAMPLES` times more, the totals of every one of these seatings
 are summed in one more exchange, and predictive probabilities are averaged over them: each is taken
 with the totals of its own seating, so over all words (and the class of others) they sum to one.
@@ -442,26 +442,26 @@ class Shard:
         others = np.maximum(totals.root_tables - self.root, 0)
         self.root = draw_tables(rng, self.stirling[1], self.seats, others, np.full(len(self.words), p.base), p.d0)
 
-    def replay(self, history: list[Totals]) -> None:
-        for totals in history:
-            self.sweep(totals)
+    def seat(self, tables: np.ndarray, root: np.ndarray, sweeps: int) -> None:
+        """Take the seating that a number of sweeps has led to."""
+        self.tables, self.root, self.sweeps = tables, root, sweeps
+        self.seats = self._seats()
 
 
-def _answers(shard: Shard, keys: np.ndarray, history: list[Totals], samples: list[Totals], requests: pd.DataFrame) -> Iterator[tuple]:
+def _answers(shard: Shard, keys: np.ndarray, samples: list[tuple[np.ndarray, np.ndarray, Totals]], requests: pd.DataFrame) -> Iterator[tuple]:
     """For each request the log10 of the averaged probability of its pairs, and its words' counts.
 
-    history: the totals that each epoch started from; samples: those of each sampled seating."""
+    samples: seatings (tables, those of the root) with their totals."""
     p = shard.prior
-    shard.replay(history[:-1])
     seatings = []
-    for own in samples:
-        shard.sweep(history[-1])
+    for tables, root, own in samples:
+        shard.seat(tables, root, 0)
         unseen = (STRENGTH + p.d0 * own.root_tables) * p.base / (STRENGTH + own.root_customers)
         seatings.append((np.maximum(shard.count - p.d1 * shard.tables, 0), shard.parent(own, shard.seats, shard.root), unseen, STRENGTH + p.d1 * own.tables))
     by = stride(len(keys))
     codes = shard.word * by + shard.context
     total = np.bincount(shard.word, weights=shard.count, minlength=len(shard.words)).astype(np.int64)
-    under = STRENGTH + history[0].customers
+    under = STRENGTH + samples[0][2].customers
     for b, words, degree, context, names in zip(requests["b"], requests["words"], requests["degree"], requests["context"], requests["keys"], strict=True):
         words = unpacked_keys(words)
         at, there = _find(shard.words, words)
@@ -486,16 +486,19 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 FIGURES = ["one", "two", "alone", "paired", "words", "tokens", *(f"root_{x}{i}" for x in ("tables", "customers") for i in range(SAMPLES))]
+TABLES, ROOT = -2, -3
 SENT = "k int, r int, keys binary, sums int, x binary"
 TOLD = "r int, k int, size long, sums int, x binary"
 
 
-def _messages(r: int, keys: np.ndarray, x: list[np.ndarray], shards: int, figures: dict[str, float]) -> pd.DataFrame:
-    """A shard's parts of sums over its contexts to the owners k of ranges of contexts, and its
-    figures to owner -1."""
+def _messages(r: int, keys: np.ndarray, x: list[np.ndarray], shards: int, figures: dict[str, float], seating: list[tuple[np.ndarray, np.ndarray]] = []) -> pd.DataFrame:  # noqa: B006
+    """A shard's parts of sums over its contexts to the owners k of ranges of contexts, its figures to
+    owner -1, and its seatings to owners below that, which hand them back."""
     edge = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 64) // shards))
     edge = [0, *edge.tolist(), len(keys)]
     rows = [(-1, r, b"", 0, packed(np.array([figures.get(f, 0.0) for f in FIGURES])))]
+    for i, parts in enumerate(zip(*seating, strict=True)):
+        rows.append((TABLES - 2 * r - i, r, b"", len(seating), narrow(np.concatenate(parts))))
     for k in range(shards):
         at = slice(edge[k], edge[k + 1])
         if at.start < at.stop:
@@ -506,8 +509,10 @@ def _messages(r: int, keys: np.ndarray, x: list[np.ndarray], shards: int, figure
 def _owner(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sums over shards, told to each in the order it sent its contexts."""
     k = pdf["k"].iloc[0]
-    if k < 0:
+    if k == -1:
         return pd.DataFrame([(-1, -1, 0, 0, packed(np.sum([unpacked(x, float) for x in pdf["x"]], axis=0)))], columns=["r", "k", "size", "sums", "x"])
+    if k <= TABLES:
+        return pd.DataFrame({"r": pdf["r"], "k": ROOT if (TABLES - k) % 2 else TABLES, "size": 0, "sums": pdf["sums"], "x": pdf["x"]})
     keys = [unpacked_keys(x) for x in pdf["keys"]]
     sizes = [len(x) for x in keys]
     place = np.unique(np.concatenate(keys), return_inverse=True)[1]
@@ -536,22 +541,36 @@ class Epoch:
     root: list[tuple[float, float]]
 
 
-def _sums(row, epoch: Epoch) -> np.ndarray:
-    """What a shard was told: a row of sums over its contexts for each that it sent."""
+def _told(row, epoch: Epoch) -> pd.DataFrame:
     store, root = fs.FileSystem.from_uri(epoch.path)
-    got = pq.read_table(f"{root}/r={row.r}", filesystem=store, partitioning=None).sort_by("k").to_pydict()
+    return pq.read_table(f"{root}/r={row.r}", filesystem=store, partitioning=None).to_pandas().sort_values("k")
+
+
+def _sums(got: pd.DataFrame) -> np.ndarray:
+    """What a shard was told: a row of sums over its contexts for each that it sent."""
+    got = got[got["k"] >= 0]
     return np.concatenate([widened(x, n * m).reshape(m, n) for x, n, m in zip(got["x"], got["size"], got["sums"], strict=True)], axis=1).astype(float)
 
 
-def _totals(row, history: list[Epoch]) -> list[Totals]:
-    """A shard's totals at the start of each epoch: the first exchange tells customers and tables."""
-    first = _sums(row, history[0])
-    return [Totals(first[0], _sums(row, e)[0] if i else first[1], *e.root[0]) for i, e in enumerate(history)]
+def _customers(row, history: list[Epoch]) -> np.ndarray:
+    return _sums(_told(row, history[0]))[0]
+
+
+def _seatings(row, shard: Shard, customers: np.ndarray, epoch: Epoch) -> list[tuple[np.ndarray, np.ndarray, Totals]]:
+    """A shard's seatings after an epoch, each with its totals."""
+    got = _told(row, epoch)
+    tables, root = (np.concatenate([widened(x, n * m).reshape(m, n) for x, m in zip(got["x"][got["k"] == k], got["sums"][got["k"] == k], strict=True)]) for k, n in ((TABLES, len(shard.count)), (ROOT, len(shard.words))))
+    return [(t, r, Totals(customers, sums, *own)) for t, r, sums, own in zip(tables, root, _sums(got), epoch.root, strict=True)]
 
 
-def _sampled(row, customers: np.ndarray, samples: Epoch) -> list[Totals]:
-    """A shard's totals of each sampled seating."""
-    return [Totals(customers, tables, *root) for tables, root in zip(_sums(row, samples), samples.root, strict=True)]
+def _start(row, shard: Shard, history: list[Epoch]) -> Totals:
+    """Seat a shard as the last epoch left it and give that epoch's totals."""
+    if len(history) == 1:
+        first = _sums(_told(row, history[0]))
+        return Totals(first[0], first[1], *history[0].root[0])
+    tables, root, totals = _seatings(row, shard, _customers(row, history), history[-1])[-1]
+    shard.seat(tables, root, len(history) - 1)
+    return totals
 
 
 def _held(path: str, r: int) -> pd.DataFrame | None:
@@ -584,19 +603,20 @@ def train(counts: DataFrame, shards: int) -> tuple[Prior, list[Epoch], Epoch]:
     history = [Epoch(path, [(f["root_customers0"], f["words"])])]
 
     def after(sweeps: int) -> Epoch:
-        """Replay the epochs so far but the last, sweep under its totals and share what comes out."""
+        """Go on from the last epoch's seating under its totals and share what comes out."""
 
         def run(batches: Iterator[pd.DataFrame], history: list[Epoch] = history[:]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for row in pdf.itertuples():
-                    shard, totals, keys = Shard(row, prior), _totals(row, history), unpacked_keys(row.keys)
-                    shard.replay(totals[:-1])
-                    tables, told = [], {}
+                    shard, keys = Shard(row, prior), unpacked_keys(row.keys)
+                    totals = _start(row, shard, history)
+                    tables, seating, told = [], [], {}
                     for i in range(sweeps):
-                        shard.sweep(totals[-1])
+                        shard.sweep(totals)
                         tables.append(np.bincount(shard.context, weights=shard.tables, minlength=len(keys)).astype(np.int64))
+                        seating.append((shard.tables, shard.root))
                         told |= {f"root_tables{i}": shard.root.sum(), f"root_customers{i}": shard.seats.sum()}
-                    yield _messages(row.r, keys, tables, shards, told)
+                    yield _messages(row.r, keys, tables, shards, told, seating)
 
         path, f = _shared(counts.mapInPandas(run, SENT), shards)
         return Epoch(path, [(f[f"root_customers{i}"], f[f"root_tables{i}"]) for i in range(sweeps)])
@@ -637,8 +657,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                totals = _totals(row, history)
-                found = _answers(Shard(row, prior), unpacked_keys(row.keys), totals, _sampled(row, totals[0].customers, samples), _held(asked, row.r))
+                shard = Shard(row, prior)
+                found = _answers(shard, unpacked_keys(row.keys), _seatings(row, shard, _customers(row, history), samples), _held(asked, row.r))
                 yield pd.DataFrame(found, columns=["b", "r", "logp", "count"])
 
     told = counts.mapInPandas(answer, "b string, r int, logp binary, count binary")

@@ -135,7 +135,7 @@ def test_totals_are_summed_over_shards(spark, documents):
                 after.setdefault(int(before), Counter())[int(h)] += 1
                 before = h
     for row in merged.itertuples():
-        totals = M._totals(row, history)[0]
+        totals = M._start(row, M.Shard(row, M.Prior(0.5, 0.5, 1, 1)), history[:1])
         for key, x, y in zip(M.unpacked_keys(row.keys).tolist(), totals.customers, totals.tables, strict=True):
             assert x == sum(after.get(key, {}).values()) and y == len(after.get(key, {}))
 
@@ -185,18 +185,23 @@ def test_answers_sum_to_one_and_equal_a_plain_evaluation(spark, documents):
     asked, merged, prior, history, samples = trained(spark, rows)
     p, seats = {}, [{} for _ in range(M.SAMPLES)]
     for row in merged.itertuples():
-        totals, keys = M._totals(row, history), M.unpacked_keys(row.keys)
+        shard, keys = M.Shard(row, prior), M.unpacked_keys(row.keys)
+        sampled = M._seatings(row, shard, M._customers(row, history), samples)
         own = asked[asked["r"] == row.r]
-        for (_, _, logp, _), (_, q) in zip(M._answers(M.Shard(row, prior), keys, totals, M._sampled(row, totals[0].customers, samples), own), own.iterrows(), strict=True):
+        for (_, _, logp, _), (_, q) in zip(M._answers(shard, keys, sampled, own), own.iterrows(), strict=True):
             w = M.unpacked_keys(q["words"])
             degree = M.widened(q["degree"], len(w))
             ctx = M.unpacked_keys(q["keys"])[M.widened(q["context"], int(degree.sum()))]
             p.update(zip(zip(np.repeat(w, degree).tolist(), ctx.tolist(), strict=True), 10.0 ** M.unpacked(logp, np.float32).astype(float), strict=True))
-        shard = M.Shard(row, prior)
-        shard.replay(totals[:-1])
-        for s in range(M.SAMPLES):
-            shard.sweep(totals[-1])
-            seats[s].update(((int(shard.words[i]), int(keys[j])), (int(c), int(t), int(shard.root[i]))) for i, j, c, t in zip(shard.word, shard.context, shard.count, shard.tables, strict=True))
+        # The seating that was handed on is what sweeping from the first epoch on gives.
+        again = M.Shard(row, prior)
+        for h in [history[:1], *[history[: i + 1] for i in range(1, len(history))]]:
+            under = M._start(row, M.Shard(row, prior), h)
+            for _ in range(M.SAMPLES if len(h) == len(history) else 1):
+                again.sweep(under)
+        assert (again.tables == sampled[-1][0]).all() and (again.root == sampled[-1][1]).all()
+        for s, (tables, root, _) in enumerate(sampled):
+            seats[s].update(((int(shard.words[i]), int(keys[j])), (int(c), int(t), int(root[i]))) for i, j, c, t in zip(shard.word, shard.context, shard.count, tables, strict=True))
     of = lambda w: int(M.hash_words([w.encode()])[0])
     for u in contexts:
         total = sum(p[of(w), of(u)] for w in [*words, "otherwise"]) + p[int(M.END), of(u)]
