@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +113,16 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
+def give_back() -> None:
+    """Return memory that is free to the system: workers are reused, and what one task needed at its
+    peak would otherwise stay with them beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
 def pieces(pdf: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
     """Consecutive rows; the texts of a piece but its last have at most `most` characters together."""
     size = pd.Series([0 if t is None or t is pd.NA or t != t else len(t) for t in pdf["text"]], index=pdf.index)
@@ -128,5 +140,7 @@ def per_batch(f: Callable[[pd.DataFrame], pd.DataFrame | None], most: int | None
                 out = f(piece)
                 if out is not None and len(out):
                     yield out
+                    del out
+        give_back()
 
     return run

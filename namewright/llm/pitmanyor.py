@@ -37,12 +37,12 @@ from pyarrow import parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namewright.llm.common import hash_words, scratch, stored, utf8
+from namewright.llm.common import give_back, hash_words, scratch, stored, utf8
 
 FOLDS, HELD_OUT = 7, 2
 #: The least stride of the codes of pairs (word * stride + context); no bound on contexts.
 CONTEXTS = 4096
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 SPLIT_TOKENS = 200_000
 EPOCHS, SAMPLES = 2, 3
 STRENGTH = 1.0
@@ -137,6 +137,7 @@ class Block:
 
 def _block(name: str, ids: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> Block:
     h, size = np.concatenate(hashes), np.concatenate(sizes)
+    hashes.clear()
     words, word = np.unique(h, return_inverse=True)
     by = stride(len(words) + 1)
     codes, pair = np.unique(word * by + contexts_of(h, size, word), return_inverse=True)
@@ -200,6 +201,8 @@ def _requests(shards: int):
                 own, context = np.unique(b.context[p], return_inverse=True)
                 rows.append((r, b.name, packed_keys(b.words[w]), narrow(b.degree[w]), narrow(context), narrow(n[p]), packed_keys(hashes[own])))
             yield pd.DataFrame(rows, columns=["r", "b", "words", "degree", "context", "n", "keys"])
+            del b, known, n, hashes, rows
+            give_back()
 
     return run
 
@@ -617,6 +620,8 @@ def train(counts: DataFrame, shards: int) -> tuple[Prior, list[Epoch], Epoch]:
                         seating.append((shard.tables, shard.root))
                         told |= {f"root_tables{i}": shard.root.sum(), f"root_customers{i}": shard.seats.sum()}
                     yield _messages(row.r, keys, tables, shards, told, seating)
+                    del shard, keys, totals, tables, seating
+                    give_back()
 
         path, f = _shared(counts.mapInPandas(run, SENT), shards)
         return Epoch(path, [(f[f"root_customers{i}"], f[f"root_tables{i}"]) for i in range(sweeps)])
@@ -649,6 +654,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 mine = _held(asked, r)
                 if mine is not None:
                     yield _merge(mine)
+                    del mine
+                    give_back()
 
     counts = stored(spark.range(0, shards, 1, shards).mapInPandas(merge, COUNTS), "lm-counts")
     prior, history, samples = train(counts, shards)
@@ -660,6 +667,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 shard = Shard(row, prior)
                 found = _answers(shard, unpacked_keys(row.keys), _seatings(row, shard, _customers(row, history), samples), _held(asked, row.r))
                 yield pd.DataFrame(found, columns=["b", "r", "logp", "count"])
+                del shard, found
+                give_back()
 
     told = counts.mapInPandas(answer, "b string, r int, logp binary, count binary")
     path = scratch(spark, "lm-answers")
@@ -677,10 +686,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             first = np.cumsum(b.sizes) - b.sizes
             base = np.log10((count + 1) / (prior.tokens + prior.vocabulary + 1))
             total = lambda x: np.add.reduceat(x, first)
-            yield pd.DataFrame({
+            out = pd.DataFrame({
                 "id": b.ids, "held_out": [is_held_out(i) for i in b.ids], "n_tokens": b.sizes, "n_known": total((count > 0).astype(np.int64)[b.word]),
                 "train_tokens": prior.tokens, "base_score": total(base[b.word]), "score": total(logp[b.pair]),
             })
+            del b, got, logp, count, base, total
+            give_back()
+            yield out
 
     schema = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.mapInPandas(score, schema).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)

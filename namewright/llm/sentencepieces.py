@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from namewright.llm.common import give_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -268,6 +270,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out = pd.DataFrame(rows, columns=["n_chars", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip", "ids"])
             out.insert(0, "id", pdf["id"].to_numpy())
             yield out if with_ids else out.drop(columns="ids")
+            del out, rows, texts
+        give_back()
 
     chosen = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id string, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean"

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namewright.llm.common import fresh, stored, utf8
+from namewright.llm.common import fresh, give_back, stored, utf8
 
 FOLDS = 5
 HELD_OUT = 0
@@ -325,6 +325,8 @@ def _counted(sample: DataFrame, words: Callable[[str], set[str]], sizes: tuple[i
                 held[int(y)].update({f for w in words(text) for f in features(w)})
             names = list(held[0].keys() | held[1].keys())
             yield pd.DataFrame({"f": names, "clean": [held[0][f] for f in names], "toxic": [held[1][f] for f in names]})
+            del held, names
+        give_back()
 
     counts = sample.mapInPandas(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     clean, toxic = F.col("clean") + 0.5, F.col("toxic") + 0.5
