@@ -42,6 +42,8 @@ def arguments() -> argparse.ArgumentParser:
     f.add_argument("results")
     f.add_argument("matches")
     f.add_argument("out")
+    f.add_argument("--a", help="the list that was linked: written beside out with its matches")
+    f.add_argument("--b", help="the reference list: written beside out with the names matched to it")
     return p
 
 
@@ -77,6 +79,11 @@ def main(argv: list[str] | None = None) -> DataFrame:
     results = io.read_results(spark, args.results)
     out = overrides.finalize(results, io.read_manual(spark, args.matches))
     out.drop("overridden").write.parquet(args.out)
+    placed = out if "ordinal" in out.columns else out.withColumn("ordinal", F.col("a_id").cast("long"))
+    if args.a:
+        overrides.enrich_a(io.read_names(spark, args.a).withColumnsRenamed({"id": "a_id", "name": "a_name"}), placed).write.parquet(f"{args.out}_a")
+    if args.b:
+        overrides.enrich_b(io.read_names(spark, args.b).withColumnsRenamed({"id": "b_id", "name": "b_name"}), placed).write.parquet(f"{args.out}_b")
     return out
 
 

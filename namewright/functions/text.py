@@ -39,6 +39,11 @@ def replaced(text: Column, replacements: dict[str, str]) -> Column:
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), replacements.items(), text)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends, of any kind."""
+    return F.regexp_replace(text, f"^{WHITE}|{WHITE}$", "")
+
+
 def split_words(text: Column) -> Column:
     return F.filter(F.split(text, WHITE), lambda t: t != "")
 
@@ -95,27 +100,25 @@ def initials(tokens: Column) -> Column:
 
 def acronym(original: Column, core: Column, min_length: int = 3) -> Column:
     """As typed (I.B.M.), else initials of min_length tokens or more, else an upper-case single word."""
-    parts = F.filter(F.split(F.trim(original), r"[.\s]+"), lambda p: p != "")
+    parts = F.filter(F.split(stripped(original), r"[.\s]+"), lambda p: p != "")
     joined = F.array_join(parts, "")
     typed = F.when(F.forall(parts, lambda p: F.char_length(p) == 1) & joined.rlike(r"^\p{L}{3,}$"), F.lower(joined))
     made = F.when(F.size(core) >= min_length, initials(core))
-    shown = F.replace(F.trim(original), F.lit("."), F.lit(""))
+    shown = F.replace(stripped(original), F.lit("."), F.lit(""))
     only = F.get(core, 0)
     upper = shown.rlike(r"\p{Lu}") & ~shown.rlike(r"[\p{Ll}\p{Lt}]")
     single = F.when((F.size(core) == 1) & only.rlike(rf"^\p{{L}}{{{min_length},}}$") & upper, only)
     return F.coalesce(typed, made, single)
 
 
-def acronym_relation(a: Column, a_core: Column, b: Column, b_core: Column, collisions: Iterable[str]) -> Column:
-    """exact, initialism, collision or none, in this order of tests."""
+def acronym_relation(a: Column, a_initials: Column, b: Column, b_initials: Column, collisions: Iterable[str]) -> Column:
+    """exact, initialism, collision or none, in this order of tests; initials are of cores of three
+    tokens or more, else null."""
     clash = lambda c: F.lower(c).isin(list(collisions))
-    first = a.isNotNull() & b.isNotNull() & (a == b)
-    second = a.isNotNull() & (F.size(b_core) >= 3) & (a == initials(b_core))
-    third = b.isNotNull() & (F.size(a_core) >= 3) & (b == initials(a_core))
     return (
-        F.when(first, F.when(clash(a), "collision").otherwise("exact"))
-        .when(second, F.when(clash(a), "collision").otherwise("initialism"))
-        .when(third, F.when(clash(b), "collision").otherwise("initialism"))
+        F.when(a == b, F.when(clash(a), "collision").otherwise("exact"))
+        .when(a == b_initials, F.when(clash(a), "collision").otherwise("initialism"))
+        .when(b == a_initials, F.when(clash(b), "collision").otherwise("initialism"))
         .otherwise("none")
     )
 

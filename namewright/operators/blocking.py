@@ -27,6 +27,45 @@ def lexical_candidates(a_keys: DataFrame, b_keys: DataFrame) -> DataFrame:
     return pairs.groupBy("a_id", "b_id").agg(F.array_sort(F.collect_set("key_type")).alias("sources"))
 
 
+def _tiers(normalized: DataFrame, id_col: str) -> DataFrame:
+    """(id, shared, value, acronym): a row for each set of kinds of keys that a pair with this name can
+    share, as a number with a bit a kind, and its values.  Of the kinds made of the core's tokens a
+    longer one implies the shorter ones, so a set is a longest kind, with or without the acronym, or the
+    acronym alone."""
+    held = F.map_from_entries("keys")
+    value = {k: F.try_element_at(held, F.lit(k)) for k in KEY_TYPES}
+    bit = {k: F.when(value[k].isNotNull(), 1 << i).otherwise(0) for i, k in enumerate(KEY_TYPES)}
+    chain = ["k_first", "k_prefix2", "k_prefix3", "k_core"]
+    acronym, made = value["k_acronym"], []
+    for n, longest in enumerate([None, *chain]):
+        shared = sum((bit[k] for k in chain[:n]), F.lit(0))
+        own = value[longest] if longest else F.lit("")
+        if longest:
+            made.append(F.struct(shared.alias("shared"), own.alias("value"), F.lit("").alias("acronym")))
+        made.append(F.struct((shared + bit["k_acronym"]).alias("shared"), F.when(acronym.isNotNull(), own).alias("value"), F.coalesce(acronym, F.lit("")).alias("acronym")))
+    # As in key_table, explode_outer keeps the names' normalization out of inferred filters.
+    return normalized.select(id_col, F.explode_outer(F.array(*made)).alias("t")).select(id_col, "t.*").where("value is not null")
+
+
+def best_candidates(a_normalized: DataFrame, b_normalized: DataFrame, cap: int) -> DataFrame:
+    """The candidates that `capped` keeps of lexical_candidates, and a bounded number of others, without
+    making all pairs of a key: (a_id, b_id, sources).
+
+    Pairs are ordered by what they share and then by b_id.  All that share a set of kinds come no later
+    than the pair that shares just that set, so a list of names with one set needs only its first `cap`
+    ids: a pair beyond them has cap better ones.  So a name meets at most nine lists of `cap` ids, and
+    the most that any list shows of a pair is what its best place rests on."""
+    key = ["shared", "value", "acronym"]
+    order = Window.partitionBy(*key).orderBy("b_id")
+    lists = _tiers(b_normalized, "b_id").withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= cap).drop("_rn")
+    # Dealt by a_id once: this serves the sums over pairs here and the cap of each name after it.
+    met = _tiers(a_normalized, "a_id").join(lists, key).select("a_id", "b_id", "shared").repartition("a_id")
+    best = met.groupBy("a_id", "b_id").agg(F.max("shared").alias("shared"))
+    kinds = sorted(range(len(KEY_TYPES)), key=lambda i: KEY_TYPES[i])
+    sources = F.array_compact(F.array(*[F.when(F.col("shared").bitwiseAND(1 << i) != 0, F.lit(KEY_TYPES[i])) for i in kinds]))
+    return best.select("a_id", "b_id", sources.alias("sources"))
+
+
 def first_kind(sources):
     """Place of the first key type that matched, in the order of key types."""
     return F.coalesce(*[F.when(F.array_contains(sources, k), F.lit(i)) for i, k in enumerate(KEY_TYPES)], F.lit(len(KEY_TYPES)))
@@ -42,10 +81,11 @@ def capped(candidates: DataFrame, cap: int) -> DataFrame:
 
 def merge_candidates(lexical: DataFrame, neighbors: DataFrame | None, limits: Candidates = Candidates()) -> DataFrame:
     """Capped lexical candidates and capped neighbors (a_id, b_id, rank) as one capped set."""
-    out = capped(lexical, limits.max_lexical)
-    if neighbors is not None:
-        near = neighbors.where(F.col("rank") <= limits.max_embedding).select("a_id", "b_id", F.array(F.lit("embedding")).alias("sources"))
-        out = out.unionByName(near).groupBy("a_id", "b_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+    out = capped(lexical, limits.max_lexical if neighbors is not None else min(limits.max_lexical, limits.max_total))
+    if neighbors is None:
+        return out
+    near = neighbors.where(F.col("rank") <= limits.max_embedding).select("a_id", "b_id", F.array(F.lit("embedding")).alias("sources"))
+    out = out.unionByName(near).groupBy("a_id", "b_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
     return capped(out, limits.max_total)
 
 

@@ -46,3 +46,12 @@ def matcher_stats(results: DataFrame, b: DataFrame) -> DataFrame:
     """One row: a_count, b_count, comparisons, no_candidates, llm_used."""
     mine = results.agg(F.count("*").alias("a_count"), F.sum("candidate_count").cast("long").alias("comparisons"), F.count_if(F.col("candidate_count") == 0).alias("no_candidates"), F.count_if("used_llm").alias("llm_used"))
     return mine.crossJoin(b.agg(F.count("*").alias("b_count")))
+
+
+def run_stats(results: DataFrame, embedding: dict[str, int] | None = None) -> DataFrame:
+    """One row: how many names each decision has, how many the judge overrode to a match or none, and
+    the calls and cache hits of embedding."""
+    counts = [F.count_if(F.col("decision") == d).alias(f"n_{d.lower()}") for d in ("MATCH", "NO_MATCH", "REVIEW")]
+    over = F.count_if(F.col("used_llm") & F.col("decision").isin("MATCH", "NO_MATCH")).alias("llm_overrides")
+    held = embedding or {}
+    return results.agg(*counts, over, *[F.max(F.lit(held.get(k, 0))).cast("long").alias(f"embedding_{k}") for k in ("api_calls", "cache_hits")])

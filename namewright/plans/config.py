@@ -39,7 +39,6 @@ class Arbitration:
     enabled: bool = False
     top_k: int = 3
     global_call_cap: int = 50
-    per_item_call_cap: int = 2  # kept for configurations that name it; top_k bounds calls for a name
     min_confidence: float = 0.75
     forbid_both_single_token: bool = True
 
@@ -48,7 +47,7 @@ class Arbitration:
 class Embedding:
     enabled: bool = False
     neighbors: int = 100
-    cache_dir: str = ".namewright/embeddings"
+    cache_dir: str = ""  # a folder that all machines share; without one embeddings live for the session
     batch_size: int = 250
 
 

@@ -14,8 +14,6 @@ from namewright.operators.normalize import normalize
 from namewright.plans.config import Config
 from namewright.plans.lexicon import Lexicon
 
-SIDE = ["core_tokens", "acronym", "numeric_tokens", "core_string"]
-
 
 @dataclass
 class Linker:
@@ -28,7 +26,7 @@ class Linker:
 
     def prepare(self, b: DataFrame) -> Prepared:
         """b (b_id, b_name, maybe b_ext_id), normalized once."""
-        return Prepared(self, b, normalize(b, self.config, self.lexicon, "b_name"))
+        return Prepared(self, b, normalize(b, self.config, self.lexicon, "b_name"), vectors.EmbeddingCache(self.config.embedding.cache_dir))
 
 
 @dataclass
@@ -36,34 +34,43 @@ class Prepared:
     linker: Linker
     b: DataFrame
     normalized: DataFrame
-
-    def candidates(self, a_normalized: DataFrame) -> DataFrame:
-        lexical = blocking.lexical_candidates(blocking.key_table(a_normalized, "a_id"), blocking.key_table(self.normalized, "b_id"))
-        return blocking.merge_candidates(lexical, self._neighbors(a_normalized), self.linker.config.candidates)
-
-    def _embedded(self, rows: DataFrame, id_col: str) -> DataFrame:
-        made = vectors.embedded(rows.select(F.col("core_string").alias("text")), None, self.linker.embedder, self.linker.config.embedding.batch_size)
-        return rows.select(id_col, F.col("core_string").alias("text")).join(made, "text").select(F.col(id_col).alias("id"), "embedding")
-
-    def _neighbors(self, a_normalized: DataFrame) -> DataFrame | None:
+    cache: vectors.EmbeddingCache
+
+    def candidates(self, a_normalized: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
+        c = self.linker.config
+        near = None
+        if embeddings is not None:
+            near = vectors.nearest(self._vectors(a_normalized, "a_id", embeddings), self._vectors(self.normalized, "b_id", embeddings), c.embedding.neighbors)
+        return blocking.merge_candidates(blocking.best_candidates(a_normalized, self.normalized, c.candidates.max_lexical), near, c.candidates)
+
+    def embeddings(self, a_normalized: DataFrame) -> DataFrame | None:
+        """(text, embedding) of the cores of both sides, each sent to the provider at most once; None if
+        embeddings are off."""
         c = self.linker.config.embedding
         if not c.enabled or self.linker.embedder is None:
             return None
-        return vectors.nearest(self._embedded(a_normalized, "a_id"), self._embedded(self.normalized, "b_id"), c.neighbors)
+        texts = a_normalized.select(F.col("core_string").alias("text")).unionByName(self.normalized.select(F.col("core_string").alias("text")))
+        return self.cache.embed(texts, self.linker.embedder, c.batch_size)
+
+    def _vectors(self, rows: DataFrame, id_col: str, embeddings: DataFrame) -> DataFrame:
+        return rows.select(F.col(id_col).alias("id"), F.col("core_string").alias("text")).join(embeddings, "text").select("id", "embedding")
 
     def scored(self, a: DataFrame) -> DataFrame:
         """a (a_id, a_name) -> scored candidates.  The fuzzy ratio is made once for each two cores."""
+        return self._scored(normalize(a, self.linker.config, self.linker.lexicon, "a_name"))
+
+    def _scored(self, left: DataFrame) -> DataFrame:
         config, lexicon = self.linker.config, self.linker.lexicon
-        left = normalize(a, config, lexicon, "a_name")
-        pairs = self.candidates(left)
+        embeddings = self.embeddings(left)
+        pairs = self.candidates(left, embeddings)
         sides = [(left, "a"), (self.normalized, "b")]
         for rows, s in sides:
-            pairs = pairs.join(rows.select(f"{s}_id", *[F.col(c).alias(f"{s}_{c}") for c in SIDE]), f"{s}_id")
-        if config.embedding.enabled and self.linker.embedder is not None:
+            pairs = pairs.join(scoring.side(rows, f"{s}_id", f"{s}_", lexicon), f"{s}_id")
+        if embeddings is not None:
             from namewright.functions.similarity import cosine
 
             for rows, s in sides:
-                pairs = pairs.join(self._embedded(rows, f"{s}_id").withColumnsRenamed({"id": f"{s}_id", "embedding": f"{s}_vec"}), f"{s}_id")
+                pairs = pairs.join(self._vectors(rows, f"{s}_id", embeddings).withColumnsRenamed({"id": f"{s}_id", "embedding": f"{s}_vec"}), f"{s}_id")
             pairs = pairs.withColumn("cosine", cosine(F.col("a_vec"), F.col("b_vec"))).drop("a_vec", "b_vec")
         return scoring.score(scoring.features(pairs, config, lexicon), config)
 
@@ -73,8 +80,9 @@ class Prepared:
         if manual is not None:
             _, rest = overrides.split_overrides(rest, manual)
         once = rest.groupBy("a_name").agg(F.min("a_id").alias("a_id"))
-        scored = self.scored(once)
-        found = decide.decide(scored, once, self.b, self.linker.config.thresholds)
+        left = normalize(once, self.linker.config, self.linker.lexicon, "a_name")
+        scored = self._scored(left)
+        found = decide.decide(scored, left.select("a_id", "a_name", "warnings"), self.b, self.linker.config.thresholds)
         if self.linker.config.arbitration.enabled:
             found = self._arbitrated(found, scored, once)
         out = rest.join(found.drop("a_id"), "a_name").select(found.columns)
@@ -118,7 +126,7 @@ def evaluate_pairs(pairs: DataFrame, linker: Linker = Linker()) -> DataFrame:
     sides = {s: normalize(once.select("a_id", F.col(f"name_{s}").alias("name")), linker.config, linker.lexicon) for s in "ab"}
     joined = once.select("a_id")
     for s, n in sides.items():
-        joined = joined.join(n.select("a_id", F.col("keys").alias(f"{s}_keys"), *[F.col(c).alias(f"{s}_{c}") for c in SIDE]), "a_id")
+        joined = joined.join(n.select("a_id", F.col("keys").alias(f"{s}_keys")), "a_id").join(scoring.side(n, "a_id", f"{s}_", linker.lexicon), "a_id")
     joined = joined.where(F.arrays_overlap("a_keys", "b_keys"))
     scored = scoring.score(scoring.features(joined, linker.config, linker.lexicon), linker.config)
     decision = decide.band(F.col("score"), F.lit(None).cast("double"), linker.config.thresholds)

@@ -109,15 +109,14 @@ def normalized(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 
 def capped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = [blocking.key_table(normalized(spark, sf_dir, s), f"{s}_id") for s in "ab"]
-    return blocking.merge_candidates(blocking.lexical_candidates(*keys), None)
+    sides = [normalized(spark, sf_dir, s) for s in "ab"]
+    return blocking.merge_candidates(blocking.best_candidates(*sides, Config().candidates.max_lexical), None)
 
 
 def sided_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = capped_pairs(spark, sf_dir)
     for s in "ab":
-        side = normalized(spark, sf_dir, s).select(f"{s}_id", *[F.col(c).alias(f"{s}_{c}") for c in linker.SIDE])
-        out = out.join(side, f"{s}_id")
+        out = out.join(scoring.side(normalized(spark, sf_dir, s), f"{s}_id", f"{s}_"), f"{s}_id")
     return out
 
 
@@ -193,10 +192,9 @@ def lexical_candidates(spark, sf_dir):
     return blocking.lexical_candidates(*keys).select("a_id", "b_id", F.array_join("sources", ",").alias("sources"))
 
 
-@query(BOTH + CAPPED.replace("<= 300", "<= 20") + " SELECT a_id, b_id, array_to_string(sources, ',') AS sources FROM capped")
+@query(BOTH + CAPPED + " SELECT a_id, b_id, array_to_string(sources, ',') AS sources FROM capped")
 def candidates_capped(spark, sf_dir):
-    keys = [blocking.key_table(normalized(spark, sf_dir, s), f"{s}_id") for s in "ab"]
-    return blocking.capped(blocking.lexical_candidates(*keys), 20).select("a_id", "b_id", F.array_join("sources", ",").alias("sources"))
+    return capped_pairs(spark, sf_dir).select("a_id", "b_id", F.array_join("sources", ",").alias("sources"))
 
 
 @query(BOTH + CAPPED + " SELECT a_id, count(*) AS candidate_count FROM capped GROUP BY a_id")
@@ -204,18 +202,16 @@ def candidate_counts(spark, sf_dir):
     return blocking.candidate_counts(capped_pairs(spark, sf_dir))
 
 
-@query(BOTH + CAPPED.replace("<= 300", "<= 30") + """, near AS (SELECT a.a_id, b.b_id FROM org_a a JOIN org_b b ON b.b_id BETWEEN a.a_id AND a.a_id + 4),
+@query(BOTH + CAPPED + """, near AS (SELECT a.a_id, b.b_id FROM org_a a JOIN org_b b ON b.b_id BETWEEN a.a_id AND a.a_id + 4),
 every AS (SELECT a_id, b_id, unnest(sources) AS s FROM capped UNION ALL SELECT a_id, b_id, 'embedding' FROM near)
 SELECT a_id, b_id, string_agg(DISTINCT s, ',' ORDER BY s) AS sources FROM every GROUP BY a_id, b_id""")
 def candidate_union(spark, sf_dir):
     """Lexical candidates together with neighbors, here those of the next five ids."""
-    from namewright.plans.config import Candidates
-
-    keys = [blocking.key_table(normalized(spark, sf_dir, s), f"{s}_id") for s in "ab"]
     a, b = org(spark, sf_dir, "a").select("a_id"), org(spark, sf_dir, "b").select("b_id")
     near = a.select("a_id", F.explode(F.sequence(F.col("a_id"), F.col("a_id") + 4)).alias("b_id")).join(b, "b_id")
     near = near.withColumn("rank", (F.col("b_id") - F.col("a_id") + 1).cast("int"))
-    merged = blocking.merge_candidates(blocking.lexical_candidates(*keys), near, Candidates(max_lexical=30))
+    sides = [normalized(spark, sf_dir, s) for s in "ab"]
+    merged = blocking.merge_candidates(blocking.best_candidates(*sides, Config().candidates.max_lexical), near)
     return merged.select("a_id", "b_id", F.array_join("sources", ",").alias("sources"))
 
 
@@ -258,7 +254,7 @@ def score_given_fuzzy(spark, sf_dir):
 
 @query()
 def fuzzy_scores(spark, sf_dir):
-    rows = scoring.features(sided_pairs(spark, sf_dir)).select(F.array_join("a_eff", " ").alias("a"), F.array_join("b_eff", " ").alias("b")).distinct()
+    rows = scoring.features(sided_pairs(spark, sf_dir)).select(F.array_join("a_effective", " ").alias("a"), F.array_join("b_effective", " ").alias("b")).distinct()
     return rows.select("a", "b", F.round(fuzzy("a", "b"), 6).alias("fuzzy"))
 
 
@@ -451,6 +447,27 @@ def matcher_stats(spark, sf_dir):
     return evaluate.matcher_stats(rows, b)
 
 
+@query(WITH + """ SELECT count(*) FILTER (decision = 'MATCH') AS n_match, count(*) FILTER (decision = 'NO_MATCH') AS n_no_match, count(*) FILTER (decision = 'REVIEW') AS n_review,
+ count(*) FILTER (used_llm AND decision IN ('MATCH', 'NO_MATCH')) AS llm_overrides, 3::BIGINT AS embedding_api_calls, 5::BIGINT AS embedding_cache_hits FROM results""")
+def run_stats(spark, sf_dir):
+    """Counters of embedding are stand-ins here; a test holds them against a provider's calls."""
+    return evaluate.run_stats(relation(spark, sf_dir, "results"), {"api_calls": 3, "cache_hits": 5})
+
+
+@query(WITH + LAST + ", every AS (SELECT a.a_id, a.a_name, CASE WHEN mb IS NULL THEN 'NO_MATCH' ELSE 'MANUAL_MATCH' END AS decision FROM org_a a LEFT JOIN last USING (a_name)) SELECT *, row_number() OVER (ORDER BY decision <> 'MANUAL_MATCH', a_id) AS place FROM every")
+def output_order(spark, sf_dir):
+    """Manual matches first, then the order of the input: places in the order that sinks write in."""
+    from pyspark.sql import Window
+
+    from namewright.sources.names import in_order
+
+    a, manual = org(spark, sf_dir, "a"), relation(spark, sf_dir, "manual").drop("a_id")
+    _, rest = overrides.split_overrides(a, manual)
+    rows = rest.withColumn("decision", F.lit("NO_MATCH")).unionByName(overrides.override_rows(a, manual).select("a_id", "a_name", "decision"))
+    place = F.row_number().over(Window.orderBy(F.col("decision") != "MANUAL_MATCH", "a_id")).cast("long")
+    return in_order(rows).withColumn("place", place).select("a_id", "a_name", "decision", "place")
+
+
 # --- review --------------------------------------------------------------------------------------
 
 GROUPS = """, f AS (SELECT b_name, a_name, min(ordinal) AS ordinal, arg_min(struct_pack(i := b_id, s := score), ordinal) AS own FROM results WHERE decision = '{0}' AND b_name IS NOT NULL GROUP BY 1, 2)
@@ -524,10 +541,10 @@ def _vectors(spark, sf_dir):
 VECTORS = "WITH v AS (SELECT vec_id::BIGINT AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT * FROM v WHERE id % 20 = 0)"
 
 
-@query(VECTORS + " SELECT q.id AS a_id, v.id AS b_id, round(list_cosine_similarity(q.e, v.e), 4) AS similarity FROM q JOIN v ON v.id BETWEEN q.id AND q.id + 9")
+@query(VECTORS + " SELECT q.id AS a_id, v.id AS b_id, round(list_cosine_similarity(q.e, v.e), 4) AS similarity FROM v AS q JOIN v ON v.id BETWEEN q.id AND q.id + 9")
 def vec_cosine_pairs(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    pairs = v.where("id % 20 = 0").select(F.col("id").alias("a_id"), F.col("embedding").alias("x"), F.explode(F.sequence(F.col("id"), F.col("id") + 9)).alias("b_id"))
+    pairs = v.select(F.col("id").alias("a_id"), F.col("embedding").alias("x"), F.explode(F.sequence(F.col("id"), F.col("id") + 9)).alias("b_id"))
     pairs = pairs.join(v.select(F.col("id").alias("b_id"), F.col("embedding").alias("y")), "b_id")
     return pairs.select("a_id", "b_id", F.round(cosine(F.col("x"), F.col("y")), 4).alias("similarity"))
 

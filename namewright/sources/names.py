@@ -6,26 +6,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from namewright.functions.text import stripped
+
 MANUAL = "matches ARRAY<STRUCT<a_names: ARRAY<STRING>, b_name: STRING, b_id: STRING, created_at: STRING, notes: STRING>>"
 
 
 def read_names(spark: SparkSession, path: str, name_column: str = "name", id_column: str = "id") -> DataFrame:
     """(id, name): .jsonl as JSON lines, Parquet as such, all else as CSV with a header.
 
-    Names are trimmed; null and blank ones go.  Without an id column ids are the places of the rows,
-    blank names counted."""
+    Names are stripped of white space; null and blank ones go.  Rows without an id have their place as
+    one: in JSON lines of any line, in CSV of any record, blank names counted."""
     if path.endswith(".jsonl"):
-        rows = spark.read.json(path)
-    elif path.endswith(".parquet"):
-        rows = spark.read.parquet(path)
+        field = lambda c: F.get_json_object("value", f"$['{c}']")
+        rows = spark.read.text(path)
+        chosen = rows.select(field(id_column).cast("long").alias("id"), field(name_column).alias("name"), stripped(F.col("value")).alias("value"))
+        if not chosen.where("id is null and value <> ''").isEmpty():
+            chosen = _placed(rows.select(F.struct(field(id_column).cast("long").alias("id"), field(name_column).alias("name")).alias("row"))).select(F.coalesce("row.id", "place").alias("id"), "row.name")
+        rows = chosen.select("id", "name")
     else:
-        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    if id_column in rows.columns:
-        rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(name_column).cast("string").alias("name"))
-    else:  # places need the order of the file
-        placed = rows.select(F.col(name_column).cast("string").alias("name")).rdd.zipWithIndex().map(lambda x: (x[1], x[0]["name"]))
-        rows = spark.createDataFrame(placed, "id long, name string")
-    return rows.withColumn("name", F.trim("name")).where("name is not null and name <> ''")
+        rows = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        if id_column in rows.columns:
+            rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(name_column).cast("string").alias("name"))
+        else:
+            rows = _placed(rows.select(F.struct(F.col(name_column).cast("string").alias("name")).alias("row"))).select(F.col("place").alias("id"), "row.name")
+    return rows.withColumn("name", stripped(F.col("name"))).where("name is not null and name <> ''")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows (row) with their place in the file; this takes the order of the file's splits."""
+    return rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0]["row"])).toDF(f"place long, row {rows.schema['row'].dataType.simpleString()}")
 
 
 def read_excel(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
@@ -38,7 +47,7 @@ def read_excel(spark: SparkSession, path: str, columns: dict[str, str]) -> DataF
 
 def read_labeled_pairs(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("header", True).option("escape", '"').csv(path)
-    return rows.select(F.trim("name_a").alias("name_a"), F.trim("name_b").alias("name_b"), F.col("label").cast("int").alias("label"))
+    return rows.select(stripped(F.col("name_a")).alias("name_a"), stripped(F.col("name_b")).alias("name_b"), F.col("label").cast("int").alias("label"))
 
 
 def read_manual(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +73,7 @@ def csv_rows(results: DataFrame, debug: bool = False) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     out = [text("a_id"), text("a_name"), text("b_id"), text("b_name"), text("decision"), _four("score").alias("score"), _four("runner_up_score").alias("runner_up_score"), _four("margin").alias("margin"), text("used_llm"), F.array_join("reasons", "|").alias("reasons")]
     if debug:
-        out += [F.to_json("top_candidates").alias("top_candidates")]
+        out += [F.array_join("warnings", "|").alias("warnings")] * ("warnings" in results.columns) + [F.to_json("top_candidates").alias("top_candidates")]
     return results.select(*out)
 
 
@@ -74,10 +83,17 @@ def export_rows(results: DataFrame) -> DataFrame:
     return results.select("a_name", *more, "b_name", "b_id", "decision", F.round("score", 4).alias("score"), F.round("runner_up_score", 4).alias("runner_up_score"), F.array_join("reasons", "; ").alias("reasons"))
 
 
+def in_order(results: DataFrame) -> DataFrame:
+    """Manual matches first, the rest after them, each in the order of the input (ids are places)."""
+    return results.orderBy(F.col("decision") != "MANUAL_MATCH", "a_id")
+
+
 def write_results(results: DataFrame, path: str, debug: bool = False) -> None:
-    """.jsonl as JSON lines with nulls, Parquet as such, all else as CSV with a header."""
+    """.jsonl as JSON lines with nulls, Parquet as such, all else as CSV with a header; in order."""
+    results = in_order(results)
     if path.endswith(".jsonl"):
-        (results if debug else results.drop("top_candidates")).write.option("ignoreNullFields", "false").json(path)
+        hidden = ["top_candidates", "warnings", "candidate_count"]
+        (results if debug else results.drop(*hidden)).write.option("ignoreNullFields", "false").json(path)
     elif path.endswith(".parquet"):
         results.write.parquet(path)
     else:
