@@ -67,12 +67,47 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL}
+    return {"op1_warc_packages": OP1_SQL, "op2_suffix_array_dedup": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL}
+
+
+OP1_SQL = """
+WITH own AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+kept AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keep FROM own)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to FROM kept"""
+
+# Texts as hex, two characters a byte; a start is not the first of its string if an earlier one has it.
+OP2_SQL = """
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM raw),
+strings AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS w FROM starts),
+later AS (SELECT doc_id, i FROM strings QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM later),
+numbered AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head, max(b) AS stop FROM gaps JOIN raw USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN stop IS NULL THEN h ELSE head || substr(h, 2 * stop + 1) END)) AS kept_sha256 FROM raw LEFT JOIN cut USING (doc_id)"""
+
+WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP7_SQL = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+item AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {WORDS} AS w FROM benchmark),
+sized AS (SELECT item, w, least(13, len(w)) AS n FROM item WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+widths AS (SELECT DISTINCT n FROM sized),
+windows AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc JOIN widths ON len(w) >= n)),
+hits AS (SELECT r, i, n, item FROM windows JOIN wanted USING (n, win)),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
 
 
 OP6_SQL = """
 WITH texts AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 line AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM texts),
-bad AS (SELECT trim(line, ' ') AS t, min(doc_id) AS first_id FROM line WHERE length(trim(line, ' ')) >= 20 GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+bad AS (SELECT trim(line, ' ') AS t, min(doc_id) AS first_id FROM line WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10),
 told AS (SELECT l.*, b.t IS NOT NULL AND l.doc_id <> b.first_id AS gone FROM line l LEFT JOIN bad b ON trim(l.line, ' ') = b.t)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM told GROUP BY doc_id"""

@@ -1,15 +1,18 @@
 """Exact repeats of long byte strings removed across a corpus, by suffix arrays.
 
 Which shard must compare what: every 100-byte window has an anchor, the least-hashed of the k-grams
-inside it, so equal windows have equal anchors and meet under the anchor's hash.  Windows with one
-anchor are consecutive; they and their bytes are a segment.  Segments whose anchor occurs once in the
+inside it, so equal windows have equal anchors and meet under the anchor's hash.  Consecutive windows
+whose anchors have one hash are a segment with their bytes (so a run of one byte, or of a short period,
+is one segment, cut only at `RUN` windows).  Segments whose anchor occurs once in the
 corpus can repeat nothing and stay where they are.  The others are dealt by ranges of (anchor, row),
 which split a very frequent anchor over many tasks, and cut into shards of bounded size.
 
 In a shard equal segments are one; the rest get a suffix array by Larsson-Sadakane refinement, with
-common prefixes by Kasai's inheritance (all segments of the shard step together), and neighbours that
-share 100 bytes are one string.  Strings of an anchor that reaches over the end of a shard are merged
-across shards: each is placed by binary search among range splitters and equal ones meet in order.
+common prefixes by Kasai's inheritance (all segments of the shard step together; it needs suffixes in
+their whole order, so refinement goes on to the longest segment), and neighbours that share 100 bytes
+are one string.  Strings of an anchor that reaches over the end of a shard are merged across shards, in
+the order of the suffixes themselves: each is placed by binary search among splitters of that order,
+and equal ones meet, byte for byte.
 The first occurrence stays, by (document, start); all others cut the bytes they cover.
 """
 
@@ -24,18 +27,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namewright.llm.common import mix64, stored, utf8
+from namewright.llm.common import give_back, mix64, stored, utf8
 
 LENGTH = 100
 GRAM = 52
 SHARD_BYTES = 4 << 20
 CHUNK = 4 << 20
+RUN = 1 << 16
+SALTS = 16
 NO_ID = (1 << 63) - 1
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_ONE, _TWO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_BASE = 0x9E3779B97F4A7C15
 
 
-def gram_hashes(raw: np.ndarray, k: int, base: int = _ONE) -> np.ndarray:
+def gram_hashes(raw: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
     """Polynomial hashes of all k consecutive bytes, by doubling."""
     power, held, out, done, width = base, _BYTES[raw], None, 0, 1
     while width <= k:
@@ -54,7 +59,12 @@ def gram_hashes(raw: np.ndarray, k: int, base: int = _ONE) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, count): runs of consecutive windows with one anchor."""
+    """(hash, start, count): runs of at most RUN consecutive windows whose anchors have one hash."""
+    return runs(raw, length, gram)[:3]
+
+
+def runs(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """anchors, and whether a run's anchors stand at more than one place: then it may repeat itself."""
     found = []
     for at in range(0, len(raw) - length + 1, CHUNK):
         part = raw[at : at + CHUNK + length - 1]
@@ -67,10 +77,15 @@ def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np
         if width < need:
             low = np.minimum(low[: len(low) - (need - width)], low[need - width :])
         where = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
-        start = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        found.append((h[where[start]], start + at, np.diff(np.r_[start, len(where)])))
+        least = h[where]
+        start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        count = np.diff(np.r_[start, len(least)])
+        parts = -(-count // RUN)
+        run = np.repeat(np.arange(len(start)), parts)
+        skip = (np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)) * RUN
+        found.append((least[start[run]], start[run] + skip + at, np.minimum(count[run] - skip, RUN), (where[start + count - 1] != where[start])[run]))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -141,29 +156,31 @@ def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, orde
 
 
 def _shard(rows: list[tuple], open_anchors: set[int], length: int) -> tuple[list[tuple], list[tuple]]:
-    """rows (h, key, rid, start, count, bytes) in order -> cuts (rid, a, b) and first strings
-    (rid, key, start, digest, digest) of anchors that may reach over the shard's ends."""
+    """rows (h, key, rid, start, count, bytes) in order; a negative count marks a run that may repeat itself -> cuts (rid, a, b) and first strings
+    (rid, key, start, string) of anchors that may reach over the shard's ends."""
     cuts, keep = [], []
     i = 0
     while i < len(rows):
-        j, seen = i, {}
+        j, seen, many = i, {}, False
         while j < len(rows) and rows[j][0] == rows[i][0]:
             h, key, rid, start, count, raw = rows[j]
             if (first := seen.setdefault(raw, rows[j])) is not rows[j]:
                 if (key, start) > (first[1], first[3]):
-                    cuts.append((rid, start, start + count - 1 + length))
+                    cuts.append((rid, start, start + abs(count) - 1 + length))
+            many |= count < 0
             j += 1
-        if len(seen) > 1 or rows[i][0] in open_anchors:
+        if len(seen) > 1 or many or rows[i][0] in open_anchors:
             keep += seen.values()
         i = j
     if not keep:
         return cuts, []
     sizes = np.array([len(r[5]) for r in keep], np.int64)
     stop = np.cumsum(sizes)
-    text = np.frombuffer(b"".join(r[5] for r in keep), np.uint8)
+    joined = b"".join(r[5] for r in keep)
+    text = np.frombuffer(joined, np.uint8)
     which = np.repeat(np.arange(len(keep)), sizes)
     ends, starts = stop[which], (stop - sizes)[which]
-    order = suffix_array(text, ends, length)
+    order = suffix_array(text, ends, int(sizes.max()))
     share = common_prefixes(text, starts, ends, order, length)
     group = np.cumsum(share < length)
     whole = ends[order] - order >= length
@@ -184,41 +201,45 @@ def _shard(rows: list[tuple], open_anchors: set[int], length: int) -> tuple[list
     reach = np.array([r[0] in open_anchors for r in keep])[own] & ~later
     if not reach.any():
         return cuts, []
-    one = gram_hashes(text, length, _ONE)[at[reach]].view(np.int64)
-    two = gram_hashes(text, length, _TWO)[at[reach]].view(np.int64)
     rid = np.array([r[2] for r in keep], np.int64)[own[reach]]
-    return cuts, list(zip(rid.tolist(), key[reach].tolist(), start[reach].tolist(), one.tolist(), two.tolist(), strict=True))
+    strings = [joined[i : i + length] for i in at[reach].tolist()]
+    return cuts, list(zip(rid.tolist(), key[reach].tolist(), start[reach].tolist(), strings, strict=True))
 
 
 def _find_anchors(length: int):
+    def frame(held: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("h", "rid", "start", "n"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             held, size = [], 0
             for rid, text in zip(pdf["rid"], pdf["text"], strict=True):
                 raw = utf8(text)
                 if len(raw) >= length:
-                    h, start, count = anchors(np.frombuffer(raw, np.uint8), length)
-                    held.append((h.view(np.int64), np.full(len(h), rid, np.int64), start, count))
+                    h, start, count, many = runs(np.frombuffer(raw, np.uint8), length)
+                    # A run that may repeat itself has its count negative.
+                    held.append((h.view(np.int64), np.full(len(h), rid, np.int64), start, np.where(many, -count, count)))
                     size += len(h)
                 if size > 200_000:
-                    yield pd.DataFrame(dict(zip(("h", "rid", "start", "n"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
+                    yield frame(held)
                     held, size = [], 0
             if held:
-                yield pd.DataFrame(dict(zip(("h", "rid", "start", "n"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
+                yield frame(held)
+        give_back()
 
     return run
 
 
 def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows in order of h those whose h a neighbour has, and the first and last of the partition,
-    whose neighbours may be elsewhere."""
+    """Of rows in order of h those whose h a neighbour has or that may repeat themselves, and the first and
+    last of the partition, whose neighbours may be elsewhere."""
     held, told, opening = None, False, True
     for pdf in batches:
         if held is not None:
             pdf = pd.concat([held, pdf], ignore_index=True)
         h = pdf["h"].to_numpy()
         same = np.r_[False, h[1:] == h[:-1]]
-        keep = same | np.r_[same[1:], False]
+        keep = same | np.r_[same[1:], False] | (pdf["n"].to_numpy() < 0)
         if held is not None and told:
             keep[0] = True
         elif opening and len(keep):
@@ -226,9 +247,10 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opening = False
         # The last row waits for its neighbour.
         held, told = pdf.iloc[-1:], bool(keep[-1])
-        yield pdf[keep & (np.arange(len(h)) < len(h) - 1)]
+        yield pdf[keep & (np.arange(len(h)) < len(h) - 1)].copy()
     if held is not None:
         yield held
+    give_back()
 
 
 def _cut_out(length: int):
@@ -239,8 +261,8 @@ def _cut_out(length: int):
                 raw = utf8(text)
                 for w in wanted:
                     a, n = w["start"], w["n"]
-                    out.append((w["h"], key, rid, a, n, raw[a : a + n - 1 + length]))
-                    size += n + length
+                    out.append((w["h"], key, rid, a, n, raw[a : a + abs(n) - 1 + length]))
+                    size += abs(n) + length
                 if size > 8 << 20:
                     yield pd.DataFrame(out, columns=["h", "key", "rid", "start", "n", "raw"])
                     out, size = [], 0
@@ -262,28 +284,27 @@ def _shards(length: int, shard_bytes: int):
                     rows, size = [], 0
         if rows:
             yield _told(rows, length)
+        give_back()
 
     return run
 
 
 def _told(rows: list[tuple], length: int) -> pd.DataFrame:
     cuts, firsts = _shard(rows, {rows[0][0], rows[-1][0]}, length)
-    out = [(rid, None, a, b, None, None) for rid, a, b in cuts] + [(rid, key, a, a + length, x, y) for rid, key, a, x, y in firsts]
-    frame = pd.DataFrame(out, columns=["rid", "key", "a", "b", "one", "two"])
-    return frame.astype({"key": "Int64", "one": "Int64", "two": "Int64"})
+    out = [(rid, 0, a, b, None) for rid, a, b in cuts] + [(rid, key, a, a + length, x) for rid, key, a, x in firsts]
+    return pd.DataFrame(out, columns=["rid", "key", "a", "b", "string"])
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Strings in order of digest, key and start: all but the first of equal ones."""
+    """Strings in order, then by key and start: all but the first of equal ones."""
     last = None
     for pdf in batches:
-        one, two, key, a = (pdf[c].to_numpy(np.int64) for c in ("one", "two", "key", "a"))
-        if last is not None:
-            one, two, key, a = (np.r_[x, y] for x, y in zip(last, (one, two, key, a), strict=True))
-        head = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(one)), 0))
+        rows = pdf if last is None else pd.concat([last, pdf], ignore_index=True)
+        string, key, a = rows["string"].to_numpy(), rows["key"].to_numpy(np.int64), rows["a"].to_numpy(np.int64)
+        head = np.r_[True, string[1:] != string[:-1]].astype(bool)
+        lead = np.maximum.accumulate(np.where(head, np.arange(len(string)), 0))
         later = (key != key[lead]) | (a != a[lead])
-        last = tuple(x[lead[-1] : lead[-1] + 1] for x in (one, two, key, a))
+        last = rows.iloc[lead[-1] : lead[-1] + 1]
         yield pdf[later[len(later) - len(pdf) :]][["rid", "a", "b"]]
 
 
@@ -316,6 +337,15 @@ def merged(cuts) -> list[tuple[int, int]]:
     return out
 
 
+def _with_first(thin: DataFrame) -> DataFrame:
+    """thin with the first key of rows of its sha.  Groups of copies are joined under salts, so that a
+    large one is dealt over tasks; texts that are alone take no part in the join."""
+    groups = thin.groupBy("sha").agg(F.min("key").alias("_first"), F.count("*").alias("n")).where("n > 1")
+    groups = groups.select("sha", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = thin.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).join(groups, ["sha", "salt"], "left")
+    return salted.withColumn("first", F.coalesce("_first", "key")).drop("salt", "_first")
+
+
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, thin, cuts): rows (id, key, rid, text) of docs, the same as (id, key, rid, n_bytes, sha)
     stored, and byte ranges (rid, a, b) to remove from rows that are the first of their text.  Later copies of a whole text have no cuts: all of
@@ -326,11 +356,13 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text"))
-    rows = rows.withColumn("rid", F.xxhash64("key", "text"))
-    sha = F.sha2(F.col("text").cast("binary"), 256)
-    thin = stored(rows.select("id", "key", "rid", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha")), "substring-rows")
-    firsts = thin.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    copies = stored(thin.join(firsts, "sha").where("key <> first").select("rid").distinct(), "substring-copies")
+    sha, mark = F.sha2(F.col("text").cast("binary"), 256), F.xxhash64("key", "text")
+    thin = stored(rows.select("id", "key", mark.alias("mark"), F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha")), "substring-rows")
+    # Rows are told apart by their ids; only where ids repeat (or are null) by a hash of id and text.
+    own = thin.groupBy("key").count().where("count > 1").isEmpty()
+    rows = rows.withColumn("rid", F.col("key") if own else mark)
+    thin = thin.withColumn("rid", F.col("key" if own else "mark")).drop("mark")
+    copies = stored(_with_first(thin).where("key <> first").select("rid").distinct(), "substring-copies")
     found = rows.select("rid", "text").mapInPandas(_find_anchors(length), "h long, rid long, start long, n long")
     ordered = found.repartitionByRange("h", "rid").sortWithinPartitions("h", "rid")
     again = stored(ordered.mapInPandas(_repeated, "h long, rid long, start long, n long").join(copies, "rid", "left_anti"), "substring-anchors")
@@ -340,11 +372,11 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cut = stored(held.mapInPandas(_cut_out(length), "h long, key long, rid long, start long, n long, raw binary"), "substring-segments")
     _freed(spark)
     dealt = cut.repartitionByRange("h", "key", "start").sortWithinPartitions("h", "key", "start")
-    told = stored(dealt.mapInPandas(_shards(length, shard_bytes), "rid long, key long, a long, b long, one long, two long"), "substring-told")
+    told = stored(dealt.mapInPandas(_shards(length, shard_bytes), "rid long, key long, a long, b long, string binary"), "substring-told")
     _freed(spark)
-    strings = told.where("one is not null").repartitionByRange("one", "two").sortWithinPartitions("one", "two", "key", "a")
+    strings = told.where("string is not null").repartitionByRange("string").sortWithinPartitions("string", "key", "a")
     across = strings.mapInPandas(_merge, "rid long, a long, b long")
-    return rows, thin, told.where("one is null").select("rid", "a", "b").unionByName(across)
+    return rows, thin, told.where("string is null").select("rid", "a", "b").unionByName(across)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -356,7 +388,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives none.
     """
     rows, thin, cuts = removed_spans(docs, id_col, text_col, length, shard_bytes)
-    firsts = thin.groupBy("sha").agg(F.min("key").alias("first"))
     by_row = stored(cuts.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("cuts")), "substring-cuts")
     _freed(docs.sparkSession)
     n_bytes = F.octet_length("text").cast("long")
@@ -367,7 +398,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     done = hit.mapInPandas(run, "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     done = done.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
-    rest = thin.join(by_row, "rid", "left_anti").join(firsts, "sha")
+    rest = _with_first(thin).join(by_row, "rid", "left_anti")
     gone = (F.col("key") > F.col("first")) & (F.col("n_bytes") >= length)
     rest = rest.select(
         "id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"),

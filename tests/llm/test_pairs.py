@@ -128,7 +128,7 @@ def test_spans_on_repetitive_words(doc, item):
     assert (int(hit.sum()), len(found)) == want[1:3]
 
 
-def slow_lines(rows, sites=10, chars=20):
+def slow_lines(rows, sites=10, chars=1):
     on, first = defaultdict(set), {}
     for d, t, s in rows:
         for line in (t.split("\n") if t is not None else []):
@@ -150,6 +150,8 @@ def test_line_dedup_equals_brute_force(spark, awkward):
         rows = [tuple(r) for r in d.select("doc_id", "text", "source").collect()]
         got = linededup.strip_boilerplate(d, min_sites=sites).select("doc_id", "n_lines", "n_removed", "text").collect()
         assert key(map(tuple, got)) == key(slow_lines(rows, sites))
+    left = linededup.strip_boilerplate(awkward.withColumnsRenamed({"lang": "_rid", "n_chars": "h", "id": "cut"}), min_sites=2)
+    assert left.columns == ["doc_id", "text", "_rid", "source", "h", "cut", "n_lines", "n_removed"]
     assert any(x[2] for x in slow_lines([tuple(r) for r in docs.select("doc_id", "text", "source").collect()]))
 
 

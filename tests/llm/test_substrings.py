@@ -83,3 +83,35 @@ def test_windows_have_one_anchor_each():
     assert (grams[17:] == again).all()
     for x, s, n in zip(h[:40], start[:40], count[:40], strict=True):
         assert all(x in grams[s + i : s + i + 100 - S.GRAM + 1] for i in range(n))
+
+
+def test_runs_are_few_segments():
+    """A run of one byte, or of a short period, costs no more than about its own bytes."""
+    for raw in (b"a" * 200_000, b"ab" * 100_000, b"0123456789abcdef" * 12_500):
+        h, start, count = S.anchors(np.frombuffer(raw, np.uint8))
+        assert (count + 99).sum() <= 3 * len(raw) and len(h) < 20 and count.sum() == len(raw) - 99
+        assert (start[1:] == start[:-1] + count[:-1]).all() and count.max() <= S.RUN
+
+
+def test_long_runs_and_a_long_text_without_blanks(spark):
+    rng = np.random.default_rng(9)
+    own = "".join(rng.choice(list("abcdefgh"), 70_000))
+    rows = [(1, "x" * 70_500), (2, "xy" * 300 + "x" * 400), (3, own), (4, own[300:900] + "!"), (5, None), (5, ""), (None, own[:150]), (None, "x" * 120)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
+def test_prefixes_of_suffixes_that_share_more_than_a_string():
+    """Strings that are equal for longer than the length looked for, and differ after it."""
+    rng = np.random.default_rng(4)
+    base = bytes(rng.integers(97, 123, 140).astype(np.uint8))
+    raw = [base[:30] + base[30:130] + bytes([c]) * 18 for c in (98, 97, 99)] + [base[40:140], b"zz" + base[35:125] + b"q" * 40]
+    text, sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])
+    stop = np.cumsum(sizes)
+    which = np.repeat(np.arange(len(raw)), sizes)
+    ends, starts = stop[which], (stop - sizes)[which]
+    order = S.suffix_array(text, ends, int(sizes.max()))
+    share = S.common_prefixes(text, starts, ends, order, 100)
+    suffix = lambda p: bytes(text[p : ends[p]])
+    for a, b, n in zip(order, order[1:], share[1:], strict=False):
+        x, y = suffix(a), suffix(b)
+        assert n == min(100, next((i for i, (c, d) in enumerate(zip(x, y, strict=False)) if c != d), min(len(x), len(y))))
