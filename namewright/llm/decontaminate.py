@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namewright.llm.common import hash_words, mix64, per_batch, rolling, stored, utf8
+from namewright.llm.common import fresh, hash_words, mix64, per_batch, rolling, stored, utf8
 
 WINDOW = 13
 K = 5
@@ -168,6 +168,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones; columns as they were."""
-    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("rid").alias("_rid")).distinct()
-    return docs.withColumn("_rid", F.xxhash64(F.col(id_col), F.col(text_col))).join(bad.hint("shuffle_hash"), "_rid", "left_anti").drop("_rid")
+    """docs without the contaminated ones; columns as they were, whatever their names.
+
+    Null texts have no words and stay; repeated rows go or stay together; ids may be null; an empty
+    benchmark removes nothing; an empty table gives an empty one."""
+    row = fresh("rid")
+    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("rid").alias(row)).distinct()
+    return docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col))).join(bad.hint("shuffle_hash"), row, "left_anti").drop(row)

@@ -8,7 +8,10 @@ own (optimal densification: all empty bins choose independently and alike in eve
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from namewright.llm.common import stored
@@ -17,8 +20,8 @@ SHINGLE = 5
 BINS = 128
 BITS = 8
 VALUE_BITS = 48
-ID_BUCKET = 1024
-BROADCAST_ROWS = 1_000_000
+#: Rows of a range in the order of ids, as long as ranges are no more than MOST_RANGES; sampled rows a range.
+RANGE_ROWS, MOST_RANGES, SAMPLED = 2048, 1 << 16, 4
 
 
 def _let(value: Column, body) -> Column:
@@ -50,20 +53,27 @@ def bins(text: Column) -> Column:
     return _let(F.sort_array(F.concat(_packed_hashes(text), marks)), least)
 
 
+@functools.cache
+def _probes() -> str:
+    """Start and step of each bin's probing sequence, as a literal: the hashes are made once, not once a text."""
+    start = lambda i: F.pmod(F.xxhash64(i, F.lit("start")), F.lit(BINS)).cast("int")
+    step = lambda i: (F.pmod(F.xxhash64(i, F.lit("step")), F.lit(BINS // 2)) * 2 + 1).cast("int")
+    plan = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.struct(start(i).alias("a"), step(i).alias("s")))
+    return SparkSession.active().range(1).select(F.to_json(plan)).first()[0]
+
+
 def densified(found: Column) -> Column:
     """BINS values without nulls, or an empty array for a text without shingles.
 
     Bin i probes (start_i + n * step_i) mod BINS for n = 0, 1, ...; steps are odd, so every bin is
     reached.  coalesce stops at the first that holds a value.
     """
-    start = lambda i: F.pmod(F.xxhash64(i, F.lit("start")), F.lit(BINS)).cast("int")
-    step = lambda i: (F.pmod(F.xxhash64(i, F.lit("step")), F.lit(BINS // 2)) * 2 + 1).cast("int")
-    plan = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.struct(i.alias("i"), start(i).alias("a"), step(i).alias("s")))
+    plan = F.from_json(F.lit(_probes()), "array<struct<a: int, s: int>>")
 
     def fill(b: Column) -> Column:
-        def one(p: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
             probes = [F.get(b, (p["a"] + p["s"] * n) % BINS) for n in range(BINS)]
-            return F.coalesce(F.get(b, p["i"]), *probes)
+            return F.coalesce(F.get(b, i), *probes)
 
         return F.when(F.exists(b, lambda x: x.isNotNull()), F.transform(plan, one)).otherwise(F.array().cast("array<int>"))
 
@@ -88,29 +98,50 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(fixed)
 
 
+def _range_of(rank: Column, bounds: list, kind: str) -> Column:
+    """How many of the sorted bounds are at most rank, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    held = F.from_json(F.lit(json.dumps([{"named": b.named, "id": b.id, "tie": b.tie} for b in bounds])), f"array<struct<named: boolean, id: {kind}, tie: bigint>>")
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        below = F.get(held, middle) <= rank
+        done = at["low"] >= at["high"]
+        return F.struct(F.when(done | ~below, at["low"]).otherwise(middle + 1).alias("low"), F.when(done | below, at["high"]).otherwise(middle).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), halve)["low"]
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, next_text): the text of the next row in descending id, after the last the first.
+    """Rows (doc_id, text, rank, bucket, ghost) dealt by ranges of the order of ids, so that in each
+    bucket the row after one is that of the next smaller id, and after the last the first.
 
-    Rows are dealt by ranges of ids of a fixed width.  The first row of each range is also sent to
-    the range before, so every range finds its last row's successor and no sort is over all rows.
-    Ties are taken in the order of the text's hash; null ids come last, as one range.
+    Bounds of ranges are rows of a sample (of at most SAMPLED * MOST_RANGES of them; they decide what
+    stands together, never a result), so ranges are alike whatever the ids are.  The first row of each
+    range is also sent, as a ghost, to the range before it.  Ties are taken in the order of the text's
+    hash, null ids come last; both are split over ranges too, but for rows that are the same in id and text.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    order = F.struct(F.col("doc_id"), F.xxhash64("text").alias("tie"), F.crc32(F.col("text").cast("binary")).alias("tie2"))
-    rows = rows.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / ID_BUCKET), F.lit(-(1 << 62))).cast("long")).withColumn("rank", order)
-    # One thin row for each range that has rows; ordered in one task, as large as rows / ID_BUCKET.
+    kind = "bigint" if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+    own = F.col(id_col).cast(kind)
+    order = F.struct(own.isNotNull().alias("named"), own.alias("id"), F.xxhash64(text).alias("tie"))
+    total = docs.count()
+    ranges = max(1, min(MOST_RANGES, total // RANGE_ROWS))
+    sample = docs.select(order.alias("rank")).sample(min(1.0, SAMPLED * ranges / total), seed=1).select("rank.*").collect() if ranges > 1 else []
+    ranked = sorted(set(sample), key=lambda r: (r.named, r.id if r.named else 0 if kind == "bigint" else "", r.tie))
+    bounds = [ranked[i] for i in sorted({len(ranked) * k // ranges for k in range(1, ranges)})] if ranked else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), order.alias("rank")).withColumn("bucket", _range_of(F.col("rank"), bounds, kind))
+    # One thin row for each range, MOST_RANGES at most: few enough for one task and to broadcast.
     firsts = rows.groupBy("bucket").agg(F.max("rank").alias("first"))
     whole = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.lag("bucket").over(Window.orderBy(F.desc("bucket")))
     firsts = stored(firsts.select("bucket", "first", F.coalesce(before, F.last("bucket").over(whole)).alias("target")), "minhash-ranges")
-    small = firsts.count() <= BROADCAST_ROWS
-    held = rows.join(F.broadcast(firsts) if small else firsts, "bucket")
-    ghost = F.col("rank").eqNullSafe(F.col("first"))
-    sent = F.when(ghost, F.array(F.struct(F.col("bucket"), F.lit(False).alias("ghost")), F.struct(F.col("target").alias("bucket"), F.lit(True).alias("ghost"))))
-    sent = sent.otherwise(F.array(F.struct(F.col("bucket"), F.lit(False).alias("ghost"))))
-    dealt = held.select("doc_id", "text", "rank", F.explode(sent).alias("to")).select("doc_id", "text", "rank", F.col("to.bucket").alias("bucket"), F.col("to.ghost").alias("ghost"))
-    return dealt
+    held = rows.join(F.broadcast(firsts), "bucket")
+    here, there = F.struct(F.col("bucket"), F.lit(False).alias("ghost")), F.struct(F.col("target").alias("bucket"), F.lit(True).alias("ghost"))
+    sent = F.when(F.col("rank").eqNullSafe(F.col("first")), F.array(here, there)).otherwise(F.array(here))
+    return held.select("doc_id", "text", "rank", F.explode(sent).alias("to")).select("doc_id", "text", "rank", "to.bucket", "to.ghost")
 
 
 def _in_order() -> object:
@@ -121,8 +152,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last third of its characters replaced by the first as many of the next
-    text.  Null is the empty text; texts without words have an empty fingerprint; equal rows that tie
-    for a range's first are sent on together and the first of them is taken; an empty table gives none.
+    text.  Null is the empty text; texts without words have an empty fingerprint; ids may be strings (then
+    in their order); equal rows that tie for a range's first are sent on together and the first of them is
+    taken; an empty table gives none; other columns are not looked at.
     """
     dealt = with_next(docs, id_col, text_col).withColumn("next_text", F.lead("text").over(_in_order()))
     n = F.char_length("text")

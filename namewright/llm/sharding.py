@@ -71,9 +71,10 @@ def place(key: Column, tree: tuple[Node, ...]) -> Column:
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tree: tuple[Node, ...] | None = None) -> DataFrame:
     """One row per document with its shard, its slot there, and its shard once there is one more.
 
-    Null texts have size 1 and crc of nothing; a null id is the key 'null' and takes the last slots;
-    repeated rows all get slots of their own; an empty table gives no rows.  Slots are numbered within
-    (shard, id bucket) and shifted by the sizes of the buckets before, so no shard is one task.
+    Null texts have size 1 and crc of nothing; a null id is the key 'null'; ids are of any type; repeated
+    rows all get slots of their own; an empty table gives no rows; other columns are not looked at.
+    Slots are numbered within (shard, bucket of id and text) and shifted by the sizes of the buckets
+    before, so no shard is one task, nor are many rows of one id or without one.
     """
     tree = tree or balanced_tree(shards)
     key = F.col(id_col)
@@ -85,12 +86,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         F.lit("key").alias("law"),
         place(key, tree).alias("shard"),
         place(key, grown(tree, shards)).alias("grown_shard"),
-        F.coalesce(F.pmod(key.cast("long"), F.lit(SLOT_BUCKETS)), F.lit(SLOT_BUCKETS)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(key, body), F.lit(SLOT_BUCKETS)).cast("int").alias("bucket"),
     )
     thin = stored(thin, "shards")
     counts = thin.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most (shards) * (SLOT_BUCKETS + 1) rows whatever the input: a proven bound.
+    # At most (shards) * SLOT_BUCKETS rows whatever the input: a proven bound.
     shifts = F.broadcast(counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
     placed = thin.withColumn("nth", F.row_number().over(within)).join(shifts, ["shard", "bucket"])

@@ -30,6 +30,8 @@ from namewright.llm.components import connected_components
 SHINGLE = 4
 MAX_BITS = 4
 LAGS = 8
+#: Characters of texts whose shingles are held at once.
+PIECE = 1 << 22
 
 
 def byte_triples() -> list[tuple[int, int, int]]:
@@ -79,8 +81,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fps = np.array([fingerprint(utf8(t), shingle) for t in pdf["text"]], np.uint64).view(np.int64)
         return pd.DataFrame({"id": pdf["id"], "fp": fps})
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInPandas(per_batch(run), "id long, fp long")
+    # Ids go through as strings: of any type, and exact beside null ones.
+    chosen = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return chosen.mapInPandas(per_batch(run, PIECE), "id string, fp long").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 def _close(x: np.ndarray, y: np.ndarray, max_bits: int) -> np.ndarray:

@@ -191,3 +191,44 @@ def test_pieces_keep_every_row_in_order():
     assert [p["rid"].tolist() for p in pieces(pdf, 8)] == [[0, 1, 2, 3], [4, 5, 6]]
     assert [p["rid"].tolist() for p in pieces(pdf, 1 << 20)] == [list(range(7))]
     assert [p["rid"].tolist() for p in pieces(pdf.assign(text=None), 8)] == [list(range(7))]
+
+
+def plain_shard(doc_id, tree):
+    """The tree by hand: at each level the child with the largest ln(u) / weight."""
+    import math
+
+    node = tree
+    while True:
+        if len(node) > 1:
+            def draw(child):
+                raw = f"{'null' if doc_id is None else doc_id}:{child.name}".encode()
+                return math.log((int(hashlib.md5(raw).hexdigest()[:13], 16) + 0.5) / 16**13) / child.weight
+
+            best = max(node, key=draw)
+        else:
+            best = node[0]
+        if best.shard is not None:
+            return best.shard
+        node = best.children
+
+
+def test_shards_equal_a_plain_descent(spark, documents, awkward):
+    tree = sharding.balanced_tree(8)
+    for docs in (documents, awkward.withColumnRenamed("id", "shard"), awkward.withColumn("doc_id", awkward.text)):
+        for r in sharding.shard_documents(docs).collect():
+            assert r.shard == plain_shard(r.doc_id, tree) and r.grown_shard == plain_shard(r.doc_id, sharding.grown(tree, 8))
+
+
+def test_string_ids_and_large_ids_beside_null(spark):
+    rows = [("b", "one two three four five"), ("a", "one two three four five"), (None, "one two three four five"), ("z", "quite other words stand here")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.id or "", r.component_id) for r in got) == [("", "a"), ("a", "a"), ("b", "a"), ("z", "z")]
+    big = (1 << 62) + 1
+    got = simhash.near_duplicates(spark.createDataFrame([(big, "one two"), (None, "x")], "doc_id long, text string")).collect()
+    assert {r.id for r in got} == {big, None}
+
+
+def test_decontaminated_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "three four five", 7, "x"), (None, None, 8, "y"), (2, "else", 9, None)], "doc_id long, text string, _rid int, id string")
+    left = decontaminate.decontaminated(docs, spark.createDataFrame([(1, "three four five")], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(r["_rid"] for r in left.collect()) == [8, 9]

@@ -159,6 +159,29 @@ def test_minhash_awkward(spark, awkward):
     assert one.near_next == 1.0
 
 
+def test_minhash_order_of_any_ids(spark, monkeypatch):
+    """Ranges are found for sparse, repeated, null and string ids, and every row's next is the right one."""
+    import random
+
+    monkeypatch.setattr(minhash, "RANGE_ROWS", 10)
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choices("abcdefghij", k=rng.randrange(1, 30)))
+    ids = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(150)] + [7] * 20 + [None] * 40
+    for kind, own in (("long", ids), ("string", [None if i is None else str(i) for i in ids])):
+        rows = [(i, text() + str(n)) for n, i in enumerate(own)]
+        got = minhash.fingerprint_documents(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()
+        assert len(got) == len(rows)
+        # Of rows that tie any may be next; each text is the next of just one row.
+        asked = {(r.doc_id, r.n_chars, r.edited_sha256) for r in got}
+        by_id = sorted({i for i in own if i is not None}, reverse=True) + [None]
+        of = {i: [t for j, t in rows if j == i] for i in by_id}
+        for n, i in enumerate(by_id):
+            after = of[i] + of[by_id[(n + 1) % len(by_id)]] if len(of[i]) > 1 else of[by_id[(n + 1) % len(by_id)]]
+            for t in of[i]:
+                cut = len(t) // 3
+                assert any((i, len(t), hashlib.sha256((t[: len(t) - cut] + x[:cut]).encode()).hexdigest()) in asked for x in after)
+
+
 # --- SentencePiece ------------------------------------------------------------------------------
 
 LIB = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
