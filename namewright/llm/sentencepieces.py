@@ -10,7 +10,12 @@ A BPE model's ranks do not add up to a path score (the plain sum of scores gives
 the public library), so the Viterbi state is the last piece: a candidate keeps its path's score only
 if merging the last piece and the candidate's characters by rank gives back just these two, and falls
 to minus infinity otherwise.  An encoding is right if all its neighbouring pairs are, so exactly one
-candidate an end survives and the path is the one that merging gives.
+candidate an end survives and the path is the one that merging gives.  In a unigram model the state is
+plain: the sum of the pieces' scores.
+
+A BPE unit of more than `LONG` characters (a run without blanks) is cut into overlapping parts, which
+advance together like any units; two parts are joined at an end that both have, if the pieces on its
+two sides are a right pair.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ CHUNK_CHARS = 2 << 20
 CACHE_UNITS = 100_000
 TOP_BITS = 20
 PAIR_SLOTS = 20  # bits
+LONG, PART, LAP = 4096, 1024, 64
+UNKNOWN_PENALTY = 10.0  # fixed value: what the public library takes off the least score for an unknown character
 
 
 @dataclass
@@ -46,6 +53,7 @@ class Model:
     kinds: np.ndarray  # 1 normal, 2 unknown, 3 control, 4 user defined, 5 unused, 6 byte
     dummy_prefix: bool
     byte_fallback: bool
+    unigram: bool = False
     ids: dict[str, int] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -68,6 +76,8 @@ class Model:
         self.key_ids = np.array([self.ids[p] for p in names], np.int64)[order]
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces have one hash")
+        # As the public library does: least score of all pieces that are not control ones.
+        self.unknown = np.float32(min((self.scores[i] for i in self.ids.values() if self.kinds[i] == 1), default=0.0) - UNKNOWN_PENALTY)
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
 
     def _surface(self, i: int) -> bytes:
@@ -89,13 +99,13 @@ def load(path: str = MODEL) -> Model:
     m = pb.ModelProto()
     with open(path, "rb") as f:
         m.ParseFromString(f.read())
-    if m.trainer_spec.model_type != 2:
-        raise ValueError("only BPE models are encoded")
+    if m.trainer_spec.model_type not in (1, 2):
+        raise ValueError("only unigram and BPE models are encoded")
     if m.normalizer_spec.precompiled_charsmap or m.normalizer_spec.remove_extra_whitespaces or not m.normalizer_spec.escape_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
         raise ValueError("only identity normalisation with escaped, leading spaces is known here")
     return Model(
         [p.piece for p in m.pieces], np.array([p.score for p in m.pieces], np.float32), np.array([p.type for p in m.pieces], np.int8),
-        m.normalizer_spec.add_dummy_prefix, m.trainer_spec.byte_fallback,
+        m.normalizer_spec.add_dummy_prefix, m.trainer_spec.byte_fallback, m.trainer_spec.model_type == 1,
     )
 
 
@@ -123,14 +133,68 @@ class Encoder:
         units = [self.units(t) for t in texts]
         self._learn(list({u for own in units for u in own} - self.cache.keys()))
         out = [b"".join(map(self.cache.__getitem__, own)) for own in units]
+        if not self.model.byte_fallback:
+            out = [self._one_unknown(x) for x in out]
         if len(self.cache) > CACHE_UNITS:
             self.cache = dict(list(self.cache.items())[: CACHE_UNITS // 2])
         return out
 
+    def _one_unknown(self, flat: bytes) -> bytes:
+        """Unknown characters in a row are one unknown piece."""
+        ids = np.frombuffer(flat, "<i4")
+        again = (ids[1:] == self.model.unk) & (ids[:-1] == self.model.unk)
+        return np.delete(ids, np.flatnonzero(again) + 1).tobytes() if again.any() else flat
+
+    def _long(self, unit: str, part: int = PART, lap: int = LAP) -> bytes:
+        """The encoding of a long BPE unit, from parts that overlap by 2 * lap characters."""
+        n = len(unit)
+        if part >= n:
+            return self.viterbi([unit], n)[0]
+        starts = list(range(0, n, part))
+        spans = [(max(0, s - lap), min(n, s + part + lap)) for s in starts]
+        paths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        by_length: dict[int, list[int]] = {}
+        for k, (a, b) in enumerate(spans):
+            by_length.setdefault(b - a, []).append(k)
+        for size, which in by_length.items():
+            step = max(1, (1 << 18) // size)
+            for i in range(0, len(which), step):
+                some = which[i : i + step]
+                table, ends, used = self._walk([unit[slice(*spans[k])] for k in some], size)
+                for r, k in enumerate(some):
+                    paths[k] = table[r][used[r]], ends[r][used[r]] + spans[k][0]
+        ids, ends = [paths[0][0]], [paths[0][1]]
+        for k in range(1, len(starts)):
+            own, stop = paths[k]
+            left, left_stop = ids[-1], ends[-1]
+            both = np.intersect1d(left_stop, stop)
+            for p in both[np.argsort(np.abs(both - starts[k]), kind="stable")].tolist():
+                i, j = int(np.searchsorted(left_stop, p)), int(np.searchsorted(stop, p))
+                if j + 1 < len(own) and self._valid(int(left[i]), int(own[j + 1])):
+                    ids[-1], ends[-1] = left[: i + 1], left_stop[: i + 1]
+                    ids.append(own[j + 1 :])
+                    ends.append(stop[j + 1 :])
+                    break
+            else:  # no such end: wider parts, up to the whole
+                return self._long(unit, part * 2, lap * 2)
+        return self._flat(unit, np.concatenate(ids), np.concatenate(ends))
+
+    def _flat(self, unit: str, ids: np.ndarray, ends: np.ndarray) -> bytes:
+        m = self.model
+        if not m.byte_fallback or not (ids == m.unk).any():
+            return ids.astype("<i4").tobytes()
+        wide: list[int] = []
+        for i, e in zip(ids.tolist(), ends.tolist(), strict=True):
+            wide += [m.byte_ids[b] for b in unit[e - 1].encode("utf-8", "surrogatepass")] if i == m.unk else [i]
+        return np.array(wide, "<i4").tobytes()
+
     def _learn(self, units: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for u in units:
-            by_length.setdefault(len(u), []).append(u)
+            if len(u) > LONG and not self.model.unigram:
+                self.cache[u] = self._long(u)
+            else:
+                by_length.setdefault(len(u), []).append(u)
         for n, group in sorted(by_length.items()):
             step = max(1, (1 << 18) // n)
             for i in range(0, len(group), step):
@@ -139,6 +203,18 @@ class Encoder:
 
     def viterbi(self, units: list[str], n: int) -> list[bytes]:
         """Encodings of units of n characters each."""
+        table, ends, used = self._walk(units, n)
+        m = self.model
+        flat, stop = table[used].tobytes(), np.cumsum(used.sum(axis=1)) * 4
+        out = [flat[a:b] for a, b in zip([0, *stop.tolist()], stop.tolist(), strict=False)]
+        if m.byte_fallback:
+            for r in np.flatnonzero((table == m.unk).any(axis=1)).tolist():
+                out[r] = self._flat(units[r], table[r][used[r]], ends[r][used[r]])
+        return out
+
+    def _walk(self, units: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each unit the ids of its best path and the ends of its pieces, filled up in front, and
+        which are used."""
         m = self.model
         rows = len(units)
         code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(rows, n)
@@ -170,16 +246,22 @@ class Encoder:
                         alone[hit] = False
                     if len(hit):
                         self._improve(score, piece, length, j, w, hit, m.key_ids[at])
-                        open_rows = open_rows[piece[j, open_rows] < 0]
+                        if not m.unigram:
+                            open_rows = open_rows[piece[j, open_rows] < 0]
                 elif w == 1:
                     alone[:] = True
             rest = open_rows[alone[open_rows]]
-            score[j, rest], piece[j, rest], length[j, rest] = score[j - 1, rest], m.unk, 1
-        return self._trace(units, piece, length, n)
+            lone = score[j - 1, rest] + (m.unknown if m.unigram else np.float32(0))
+            rest, lone = (rest[lone > score[j, rest]], lone[lone > score[j, rest]]) if m.unigram else (rest, lone)
+            score[j, rest], piece[j, rest], length[j, rest] = lone, m.unk, 1
+        return self._trace(piece, length, n)
 
     def _improve(self, score: np.ndarray, piece: np.ndarray, length: np.ndarray, j: int, w: int, hit: np.ndarray, ids: np.ndarray) -> None:
-        ok = self._pairs(piece[j - w, hit].astype(np.int64), ids) if j > w else np.ones(len(hit), bool)
-        cand = np.where(ok, score[j - w, hit], np.float32(-np.inf))
+        if self.model.unigram:
+            cand = score[j - w, hit] + self.model.scores[ids]
+        else:
+            ok = self._pairs(piece[j - w, hit].astype(np.int64), ids) if j > w else np.ones(len(hit), bool)
+            cand = np.where(ok, score[j - w, hit], np.float32(-np.inf))
         better = cand > score[j, hit]
         to = hit[better]
         score[j, to], piece[j, to], length[j, to] = cand[better], ids[better], w
@@ -216,27 +298,19 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return tuple(parts)
 
-    def _trace(self, units: list[str], piece: np.ndarray, length: np.ndarray, n: int) -> list[bytes]:
-        m = self.model
-        rows = np.arange(len(units))
-        at = np.full(len(units), n)
+    def _trace(self, piece: np.ndarray, length: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = np.arange(piece.shape[1])
+        at = np.full(len(rows), n)
         steps = []
         while (at > 0).any():
             ids = np.where(at > 0, piece[at, rows], -1)
+            if ((at > 0) & (ids < 0)).any():
+                raise ValueError("a text has no path through the pieces")
             steps.append((ids, at))
             at = np.where(at > 0, at - length[at, rows], 0)
         table = np.array([x[0] for x in steps[::-1]], "<i4").T
         ends = np.array([x[1] for x in steps[::-1]]).T
-        used = table >= 0
-        flat, stop = table[used].tobytes(), np.cumsum(used.sum(axis=1)) * 4
-        out = [flat[a:b] for a, b in zip([0, *stop.tolist()], stop.tolist(), strict=False)]
-        if m.byte_fallback:
-            for r in np.flatnonzero((table == m.unk).any(axis=1)).tolist():
-                wide = []
-                for i, e in zip(table[r].tolist(), ends[r].tolist(), strict=True):
-                    wide += [m.byte_ids[b] for b in units[r][e - 1].encode("utf-8", "surrogatepass")] if i == m.unk else [i] if i >= 0 else []
-                out[r] = np.array(wide, "<i4").tobytes()
-        return out
+        return table, ends, table >= 0
 
 
 def decode(model: Model, ids: list[int] | np.ndarray) -> str:

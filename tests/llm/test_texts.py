@@ -206,6 +206,49 @@ def test_encoding_of_random_texts(text):
     assert sentencepieces.decode(MODEL, ids) == text.replace("▁", " ")
 
 
+def test_long_runs_without_blanks_equal_the_public_library():
+    """Far beyond LONG characters, in parts that overlap; blanks, letters, digits, unknown characters."""
+    import base64
+    import random
+    import time
+
+    rng = random.Random(11)
+    raw = base64.b64encode(rng.randbytes(700_000)).decode()
+    began = time.time()
+    got = ENCODER.encode(raw)
+    assert time.time() - began < 20  # 0.9 million characters
+    assert list(got) == LIB.encode(raw)
+    for t in (" " * 9001, "x" * 20_011, "ab" * 7000, "".join(rng.choices("aeionrst", k=15_000)), "漢字😀" * 3000, "".join(rng.choices("a1é漢\n", k=12_000)), "the" * 5000):
+        assert list(ENCODER.encode(t)) == LIB.encode(t), t[:20]
+
+
+def unigram_file(path):
+    """A small model written by hand, not trained."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.trainer_spec.model_type = 1
+    m.normalizer_spec.name = "identity"
+    m.normalizer_spec.remove_extra_whitespaces = False
+    m.normalizer_spec.add_dummy_prefix = m.normalizer_spec.escape_whitespaces = True
+    for piece, score, kind in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("▁", -3.5, 1), ("a", -4, 1), ("b", -4.25, 1), ("ab", -6, 1), ("aba", -7.5, 1), ("▁a", -5, 1), ("▁ab", -6.125, 1), ("ba", -6.5, 1), ("bab", -9, 1), ("▁▁", -6, 1), ("c", -12, 1), ("abcab", -14, 1)]:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aabbc xé"), max_size=50))
+def test_unigram_models_equal_the_public_library(tmp_path_factory, text):
+    if "own" not in UNIGRAM:
+        path = unigram_file(tmp_path_factory.mktemp("m") / "u.model")
+        UNIGRAM.update(own=sentencepieces.Encoder(sentencepieces.load(path)), lib=sentencepiece.SentencePieceProcessor(model_file=path))
+    assert list(UNIGRAM["own"].encode(text)) == UNIGRAM["lib"].encode(text)
+
+
+UNIGRAM: dict = {}
+
+
 def test_encode_documents(spark, awkward):
     for docs in (awkward, awkward.limit(0)):
         got = [(r.id, r.n_pieces, list(r.ids), r.round_trip) for r in sentencepieces.encode_documents(docs, with_ids=True).collect()]
