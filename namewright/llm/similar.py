@@ -134,14 +134,17 @@ def _sizes_fit(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
 
 
-def _sets(asked: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(node, held): the sets of shingles of the nodes asked for."""
+def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, held): the sets of shingles of the nodes asked for.  A node's text is read from its rows of
+    the least id, so that large groups of copies are not gathered."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [np.unique(shingle_hashes(utf8(t), shingle)).view(np.int64) for t in pdf["text"]]
         return pd.DataFrame({"node": pdf["node"], "held": sets})
 
-    texts = docs.select(_node(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text")).join(asked, "node", "left_semi")
+    first = nodes.select(F.col("node").alias("of"), "least").join(asked.select(F.col("node").alias("of")), "of", "left_semi")
+    rows = docs.select(_node(F.col(text_col)).alias("node"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = rows.join(first, (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("least")), "left_semi")
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     return stored(texts.mapInPandas(per_batch(run, PIECE), "node long, held array<long>"), "similar-sets")
 
@@ -205,14 +208,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     tried = tried.where(_sizes_fit("nu", "nv", similarity) & (_off("u", "v") <= MOST_OFF)).select("u", "v")
     tried = stored(_tallied(tried, nodes), "similar-tried")
     asked = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    links = _verified(tried, _sets(asked, docs, text_col, shingle), similarity)
+    links = _verified(tried, _sets(asked, nodes, docs, id_col, text_col, shingle), similarity)
     first = connected_components(links, "similar-first").withColumnRenamed("component", "comp")
     known = stored(nodes.drop("pos").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "similar-known")
     postings = known.select("node", "comp", F.explode("keys").alias("key"))
     sizes = postings.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1").select("key", F.col("top.comp").alias("top"))
     members = stored(postings.join(mixed, "key"), "similar-members")
-    sets = _sets(members.select("node").distinct(), docs, text_col, shingle)
+    sets = _sets(members.select("node").distinct(), nodes, docs, id_col, text_col, shingle)
     # A text can't be similar to another one if too few of its shingles occur in any other.
     able = known.select("node", "n", "one", "two").join(_met(sets), "node").where(F.col("m") >= F.col("n") * similarity - 1e-6)
     held = stored(members.join(able, "node"), "similar-mixed")

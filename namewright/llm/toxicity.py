@@ -353,22 +353,28 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"y": pdf["y"].astype("int64"), "at": [sorted(place[f] for f in blank.found(t)) for t in pdf["text"]]})
 
-    rows = sample.mapInPandas(lambda it: map(match, it), "y long, at array<int>").collect()  # 2 * per_class at most
-    at, y = [list(r["at"]) for r in rows], np.array([r.y for r in rows], float)
-    keep = np.flatnonzero(np.abs(_fit(at, y, len(names))[0]) >= LEAST_WEIGHT)
-    new = {int(i): k for k, i in enumerate(keep)}
-    weights, bias = _fit([[new[i] for i in r if i in new] for r in at], y, len(keep))
-    return Model({names[i]: w for i, w in zip(keep, weights.tolist(), strict=True)}, bias, restorer)
-
-
-def _fit(rows: list[list[int]], y: np.ndarray, n: int, ridge: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on binary features by accelerated gradient descent; classes weigh alike, and
+    # Numbers of 2 * per_class rows at most.
+    told = sample.mapInPandas(lambda it: map(match, it), "y long, at array<int>").toArrow().combine_chunks()
+    y, at = told["y"].to_numpy().astype(float), told["at"].chunk(0) if told.num_rows else None
+    row = np.repeat(np.arange(len(y)), np.diff(at.offsets.to_numpy())) if len(y) else np.zeros(0, np.int64)
+    at = at.flatten().to_numpy().astype(np.int64) if len(y) else np.zeros(0, np.int64)
+    keep = np.flatnonzero(np.abs(_fit(row, at, y, len(names))[0]) >= LEAST_WEIGHT)
+    new = np.full(len(names), -1)
+    new[keep] = np.arange(len(keep))
+    held = new[at] >= 0
+    weights, bias = _fit(row[held], new[at[held]], y, len(keep))
+    model = Model({names[i]: w for i, w in zip(keep, weights.tolist(), strict=True)}, bias, restorer)
+    del told, row, at, blank, first, names, place
+    give_back()
+    return model
+
+
+def _fit(row: np.ndarray, at: np.ndarray, y: np.ndarray, n: int, ridge: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression on binary features (row has feature at) by accelerated gradient descent; classes weigh alike, and
     the bias is drawn towards the log odds of the classes, which decide where no feature speaks."""
     odds = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else float(np.log(0.1 / 0.9))
     if not len(y) or y.min() == y.max():
         return np.zeros(n), odds
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.array([i for r in rows for i in r], np.int64)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w = np.zeros(n + 1)
     v, top = np.ones(n + 1), 1.0
