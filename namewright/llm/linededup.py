@@ -64,8 +64,13 @@ def strip_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     cuts = hits.groupBy(F.col("rid").alias(row)).agg(F.collect_set("at").alias(cut))
     lines, text, gone = F.split(F.col(text_col), "\n"), F.col(text_col), F.coalesce(F.size(cut), F.lit(0))
     rows = docs.withColumn(row, F.xxhash64(F.col(id_col), text)).join(cuts.hint("shuffle_hash"), row, "left")
-    # array_except hashes, so a row costs its lines, however many are cut.
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut))
-    rows = rows.withColumn(kept, F.when(F.col(cut).isNull(), text).otherwise(F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")))
+
+    def left(own: Column) -> Column:
+        # array_except hashes, so a row costs its lines, however many are cut.
+        places = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(cut))
+        return F.array_join(F.transform(places, lambda i: F.get(own, i)), "\n")
+
+    # The transform of an array of one splits the text once, not once a line.
+    rows = rows.withColumn(kept, F.when(F.col(cut).isNull(), text).otherwise(F.get(F.transform(F.array(lines), left), 0)))
     counts = {"n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.when(F.col(cut).isNull(), 0).otherwise(gone).cast("long")}
     return rows.withColumns(counts).withColumn(text_col, F.col(kept)).drop(row, cut, kept)
