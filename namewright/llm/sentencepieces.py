@@ -37,9 +37,9 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CHUNK_CHARS = 2 << 20
-CACHE_UNITS = 100_000
+CACHE_UNITS = 250_000
 TOP_BITS = 20
-PAIR_SLOTS = 20  # bits
+PAIR_SLOTS = 21  # bits
 LONG, PART, LAP = 4096, 1024, 64
 UNKNOWN_PENALTY = 10.0  # fixed value: what the public library takes off the least score for an unknown character
 
