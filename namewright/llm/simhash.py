@@ -135,13 +135,15 @@ def link_fingerprints(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     postings = _postings(known)
     sizes = postings.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
-    mixed = mixed.select("key", F.col("top.comp").alias("top"))
-    held = stored(postings.join(mixed, "key"), "simhash-mixed")
+    mixed = stored(mixed.select("key", F.col("top.comp").alias("top")), "simhash-mixed-keys")
+    # Spark takes exploded rows to be no more than the rows they come from, and would broadcast 20 postings
+    # a node through the driver: these joins are always shuffled, and split where a key is hot.
+    held = stored(postings.hint("merge").join(mixed, "key"), "simhash-mixed")
     few = held.where("comp <> top").select("key", F.col("fp").alias("x"), F.col("comp").alias("a"))
     rest = held.select("key", F.col("fp").alias("y"), F.col("comp").alias("b"))
     diff = F.col("x").bitwiseXOR(F.col("y"))
     shared = sum((F.shiftrightunsigned(diff, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8))
-    linked = few.join(rest, (few.key == rest.key) & (F.col("a") != F.col("b")) & (F.bit_count(diff) <= max_bits) & (shared >= 8 - max_bits))
+    linked = few.hint("merge").join(rest, (few.key == rest.key) & (F.col("a") != F.col("b")) & (F.bit_count(diff) <= max_bits) & (shared >= 8 - max_bits))
     links = linked.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     joined = connected_components(links, "simhash-rest")
     return known.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("fp", F.coalesce("component", "comp").alias("component"))

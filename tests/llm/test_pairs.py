@@ -1,6 +1,7 @@
 """SimHash, line dedup, decontamination and shards against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -59,6 +60,18 @@ def test_simhash_equals_brute_force(spark, documents, awkward):
     assert simhash.near_duplicates(documents.limit(0)).count() == 0
 
 
+def test_simhash_sends_no_postings_through_the_driver(spark):
+    """20 postings a node, which Spark's estimate of exploded rows does not see, are not broadcast."""
+    rng = random.Random(5)
+    fps = [rng.getrandbits(63) for _ in range(8000)]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", str(4 << 20))
+    try:
+        got = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp long"))
+        assert sorted(map(tuple, got.collect())) == sorted((f, f) for f in fps)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_simhash_chain_and_stragglers(spark):
     """A group whose members differ in few bits, and values four bits off that sorting keeps apart."""
     fps = [0, 0b1111, 0b11110000, 0xF << 60, (0xF << 60) | (0xF << 30), 0x5555_5555_5555_5555]
