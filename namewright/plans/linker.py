@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from namewright.functions.text import pair_key
 from namewright.operators import arbiter as arb
 from namewright.operators import blocking, decide, evaluate, overrides, scoring, vectors
-from namewright.operators.normalize import normalize
+from namewright.operators.normalize import normalize, normalize_once
 from namewright.plans.config import Config
 from namewright.plans.lexicon import Lexicon
 
@@ -26,7 +26,7 @@ class Linker:
 
     def prepare(self, b: DataFrame) -> Prepared:
         """b (b_id, b_name, maybe b_ext_id), normalized once."""
-        return Prepared(self, b, normalize(b, self.config, self.lexicon, "b_name"), vectors.EmbeddingCache(self.config.embedding.cache_dir))
+        return Prepared(self, b, normalize_once(b, self.config, self.lexicon, "b_name"), vectors.EmbeddingCache(self.config.embedding.cache_dir))
 
 
 @dataclass
@@ -64,8 +64,10 @@ class Prepared:
         embeddings = self.embeddings(left)
         pairs = self.candidates(left, embeddings)
         sides = [(left, "a"), (self.normalized, "b")]
+        # By the size of its files, Spark takes a normalized list for small and would broadcast it through the
+        # driver; here and in what follows joins with lists are always shuffled.
         for rows, s in sides:
-            pairs = pairs.join(scoring.side(rows, f"{s}_id", f"{s}_", lexicon), f"{s}_id")
+            pairs = pairs.join(scoring.side(rows, f"{s}_id", f"{s}_", lexicon).hint("merge"), f"{s}_id")
         if embeddings is not None:
             from namewright.functions.similarity import cosine
 
@@ -85,7 +87,7 @@ class Prepared:
         found = decide.decide(scored, left.select("a_id", "a_name", "warnings"), self.b, self.linker.config.thresholds)
         if self.linker.config.arbitration.enabled:
             found = self._arbitrated(found, scored, once)
-        out = rest.join(found.drop("a_id"), "a_name").select(found.columns)
+        out = rest.hint("merge").join(found.drop("a_id"), "a_name").select(found.columns)
         return out if manual is None else out.unionByName(overrides.override_rows(a, manual), allowMissingColumns=True)
 
     def _arbitrated(self, found: DataFrame, scored: DataFrame, once: DataFrame) -> DataFrame:
